@@ -1,12 +1,17 @@
-"""Token ids by the tokenizers library, each piece between blanks encoded once.
-
-Pre-tokenizers of these files never join characters across the change from a non-blank to a blank, so a text can be cut
-there and equal pieces encoded once. A text with a white-space character other than space and line feed is handed to the
-library whole. Ids come as bytes: little-endian unsigned 32-bit.
+"""Token ids by the tokenizers library, each piece of a text encoded once.
+
+Pre-tokenizers of these files cut texts by character class, and no token crosses a cut. A text can therefore be cut at
+such places and equal pieces encoded once. Three ways, the first that a text allows:
+- ASCII and Latin-1 letters without apostrophes: pieces are runs of letters and runs of other characters;
+- no white space but space and line feed: pieces are what stands between blanks;
+- others, and texts with a special token's text: the library takes the text whole.
+Ids come as bytes: little-endian unsigned 32-bit.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 from array import array
@@ -18,48 +23,77 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: A white-space character by any definition in use, other than space and line feed.
 _ODD = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200f\\u2028\\u2029\\u2060\\ufeff]").search
-_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-_WORDS = re.compile(r"[^ \n]+").findall
+_LATIN = bytes([0x0A, *range(0x20, 0x27), *range(0x28, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_FINE = {True: re.compile(rf" ?[{_L}]+| ?[^ \n{_L}]+|[ \n]+\Z|[ \n]+(?=[ \n])|[ \n]").findall, False: re.compile(rf"[{_L}]+|[^ \n{_L}]+").findall}
+_COARSE = {True: re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall, False: re.compile(r"[^ \n]+").findall}
+_LETTERS = re.compile(rf" ?[{_L}]+").fullmatch
 
 
 def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-#: A letter of ASCII or Latin-1 and ASCII punctuation behind it: always two pre-tokens.
-_TAIL = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]([!-/:-@\[-`{-~]+)\Z").search
+def _letters_only(path: str) -> Tokenizer:
+    """The same model without the steps that leave a single word of lower-case Latin letters as it is."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+    return Tokenizer.from_str(json.dumps(spec))
 
 
 class PieceEncoder:
-    """spaces: whether blanks have tokens. limit: pieces remembered at once, so memory has a bound."""
-
-    def __init__(self, path: str, spaces: bool, limit: int = 400_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.find, self.limit, self.known = _SPACED if spaces else _WORDS, limit, {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        known, tails = self.known, [(p, m.start(1)) for p in pieces if (m := _TAIL(p))]
-        cut = {p for p, _ in tails}
-        new = list({p for p in pieces if p not in cut}.union(p[:at] for p, at in tails).union(p[at:] for p, at in tails).difference(known))
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            known.update(zip(some, [packed(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)], strict=True))
-        known.update([(p, known[p[:at]] + known[p[at:]]) for p, at in tails])
+    """spaces: whether blanks have tokens; if not, the file also lower-cases. limit: pieces remembered at once, so memory has a bound."""
+
+    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
+        self.tokenizer, self.short = Tokenizer.from_file(path), _letters_only(path)
+        self.spaces, self.limit, self.known = spaces, limit, {}
+
+    def _parts(self, text: str) -> list[str] | None:
+        if "<|" not in text:
+            try:
+                if not text.encode("latin-1").translate(None, _LATIN):
+                    return _FINE[self.spaces](text if self.spaces else text.lower())
+            except UnicodeEncodeError:
+                pass
+            if not _ODD(text):
+                return _COARSE[self.spaces](text)
+        return None
+
+    def _learn(self, pieces: set[str]) -> None:
+        gc.disable()  # many short-lived objects, none in cycles
+        words = [p for p in pieces if _LETTERS(p)]
+        for some, tokenizer in ((words, self.short), (list(pieces.difference(words)), self.tokenizer)):
+            for at in range(0, len(some), 8192):
+                part = some[at : at + 8192]
+                got = tokenizer.encode_batch_fast(part if self.spaces or tokenizer is self.tokenizer else [p.lower() for p in part], add_special_tokens=False)
+                self.known.update(zip(part, [packed(e.ids) for e in got], strict=True))
+        gc.enable()
 
     def _whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each whole text; None is the empty text."""
-        for at in range(0, len(texts), 64):
-            some = [t or "" for t in texts[at : at + 64]]
-            parts = [None if _ODD(t) or "<|" in t else self.find(t) for t in some]
+        for at in range(0, len(texts), 256):
+            some = [t or "" for t in texts[at : at + 256]]
+            parts = [self._parts(t) for t in some]
             if len(self.known) > self.limit:
                 short = {p: b for p, b in self.known.items() if len(p) < 9}  # the frequent ones are short
                 self.known = short if 2 * len(short) < self.limit else {}
             new = set().union(*(p for p in parts if p)).difference(self.known)
             long = {p: self._whole(p) for p in new if len(p) > 64}
-            self._learn([p for p in new if len(p) <= 64])
+            self._learn(new.difference(long))
             get = (lambda p: long[p] if p in long else self.known[p]) if long else self.known.__getitem__
             for t, p in zip(some, parts, strict=True):
                 yield self._whole(t) if p is None else b"".join(map(get, p))
+
+
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder(path: str, spaces: bool) -> PieceEncoder:
+    """One for each Python worker, which serves many tasks; what it has learned doesn't change results."""
+    if (path, spaces) not in _encoders:
+        _encoders[path, spaces] = PieceEncoder(path, spaces)
+    return _encoders[path, spaces]

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cachelens.llm._ship import ship
-from cachelens.llm.encoding import PieceEncoder, packed
+from cachelens.llm.encoding import encoder, packed
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequences of one partition are numbered from its number times this.
@@ -65,7 +65,7 @@ def fitted(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: int, most: int, group: int) -> Iterator[pd.DataFrame]:
-    encoder, tail = PieceEncoder(tokenizer, spaces=False), packed([end])
+    encode, tail = encoder(tokenizer, spaces=False).encode, packed([end])
     sequence = TaskContext.get().partitionId() * STRIDE
     rows: list[tuple] = []
     rest: list[tuple] = []
@@ -91,7 +91,7 @@ def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: i
     for batch in batches:
         docs = batch["doc_id"].tolist()
         texts = [t if isinstance(t, str) else None for t in batch["text"]]
-        for doc, ids in zip(docs, encoder.encode(texts), strict=True):
+        for doc, ids in zip(docs, encode(texts), strict=True):
             ids += tail
             doc, total, at = None if pd.isna(doc) else int(doc), len(ids) // 4, 0
             while total - at >= length:  # a full sequence of its own

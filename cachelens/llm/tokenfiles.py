@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachelens.llm._ship import ship
-from cachelens.llm.encoding import PieceEncoder, packed
+from cachelens.llm.encoding import encoder, packed
 from cachelens.llm.rangecoder import decode_block, encode_block
 
 BLOCKS = "part int, block long, n_ids long, payload binary"
@@ -20,7 +20,7 @@ IDS = "part int, block long, seq long, doc_id long, ids binary"
 
 
 def _encoded(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, vocabulary: int, block_ids: int) -> Iterator[pd.DataFrame]:
-    encoder, tail, part = PieceEncoder(tokenizer, spaces=True), packed([end]), TaskContext.get().partitionId()
+    encode, tail, part = encoder(tokenizer, spaces=True).encode, packed([end]), TaskContext.get().partitionId()
     docs: list[int | None] = []
     ids: list[np.ndarray] = []
     held = block = 0
@@ -35,7 +35,7 @@ def _encoded(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, vocabula
 
     for batch in batches:
         texts = [t if isinstance(t, str) else None for t in batch["text"]]
-        for doc, got in zip(batch["doc_id"].tolist(), encoder.encode(texts), strict=True):
+        for doc, got in zip(batch["doc_id"].tolist(), encode(texts), strict=True):
             docs.append(None if pd.isna(doc) else int(doc))
             ids.append(np.frombuffer(got + tail, np.uint32))
             held += len(ids[-1])
