@@ -16,6 +16,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -45,7 +46,7 @@ def _letters_only(path: str) -> Tokenizer:
 class PieceEncoder:
     """spaces: whether blanks have tokens; if not, the file also lower-cases. limit: pieces remembered at once, so memory has a bound."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
+    def __init__(self, path: str, spaces: bool, limit: int):
         self.tokenizer, self.short = Tokenizer.from_file(path), _letters_only(path)
         self.spaces, self.limit, self.known = spaces, limit, {}
 
@@ -81,7 +82,7 @@ class PieceEncoder:
             if len(self.known) > self.limit:
                 short = {p: b for p, b in self.known.items() if len(p) < 9}  # the frequent ones are short
                 self.known = short if 2 * len(short) < self.limit else {}
-            new = set().union(*(p for p in parts if p)).difference(self.known)
+            new = set(filterfalse(self.known.__contains__, chain.from_iterable(p for p in parts if p)))
             long = {p: self._whole(p) for p in new if len(p) > 64}
             self._learn(new.difference(long))
             get = (lambda p: long[p] if p in long else self.known[p]) if long else self.known.__getitem__
@@ -92,8 +93,8 @@ class PieceEncoder:
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> PieceEncoder:
-    """One for each Python worker, which serves many tasks; what it has learned doesn't change results."""
+def encoder(path: str, spaces: bool, limit: int = 600_000) -> PieceEncoder:
+    """One for each Python worker, which serves many tasks; what it has learned doesn't change results. 600,000 pieces take about 120 MB."""
     if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = PieceEncoder(path, spaces)
+        _encoders[path, spaces] = PieceEncoder(path, spaces, limit)
     return _encoders[path, spaces]

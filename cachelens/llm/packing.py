@@ -65,7 +65,7 @@ def fitted(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: int, most: int, group: int) -> Iterator[pd.DataFrame]:
-    encode, tail = encoder(tokenizer, spaces=False).encode, packed([end])
+    encode, tail = encoder(tokenizer, spaces=False, limit=1_200_000).encode, packed([end])
     sequence = TaskContext.get().partitionId() * STRIDE
     rows: list[tuple] = []
     rest: list[tuple] = []
