@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cachelens.llm._store import written
+
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -59,6 +61,17 @@ def _normal(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))), " +", " "), "[0-9]", "0")
 
 
+def _line_totals(text: Column) -> Column:
+    """array<struct<line, total>>: hash of each different normalised line, and its words in all its occurrences."""
+    hashed = F.array_sort(F.transform(lines(text), lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).cast("long").alias("n"))))
+
+    def totals(a: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.coalesce(F.get(a, i)["line"] != F.get(a, i - 1)["line"], F.lit(True)))
+        return _let(first, lambda at: F.transform(at, lambda p, j: F.struct(F.get(a, p)["line"].alias("line"), (F.get(a, p)["n"] * (F.coalesce(F.get(at, j + 1), F.size(a)) - p)).alias("total"))))
+
+    return _let(hashed, lambda a: F.when(F.size(a) > 0, totals(a)))
+
+
 def line_rules(docs: DataFrame, host: str = "source", limit: int = 20, keep_share: float = 0.5, least_words: int = 50, salts: int = 16) -> DataFrame:
     """Statistics of each document and whether it is kept once lines common on its host are removed.
 
@@ -73,15 +86,14 @@ def line_rules(docs: DataFrame, host: str = "source", limit: int = 20, keep_shar
     no rows. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words.
     """
     stats = docs.select("doc_id", F.xxhash64(F.col(host), F.col("text")).alias("_t"), *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    per_line = F.transform(lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).cast("long").alias("n")))
-    rows = docs.select("doc_id", F.xxhash64(F.col(host), F.col("text")).alias("_t"), F.col(host).alias("_h"), F.explode(per_line).alias("x"))
-    rows = rows.groupBy("doc_id", "_t", "_h", F.col("x.line").alias("line")).agg(F.max("x.n").alias("each"), F.count(F.lit(1)).alias("times"))
-    once = rows.groupBy("doc_id", "_h", "line").agg(F.lit(1).alias("one"))
-    common = once.groupBy("_h", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > limit)
+    rows = docs.select("doc_id", F.xxhash64(F.col(host), F.col("text")).alias("_t"), F.col(host).alias("_h"), F.explode(_line_totals(F.coalesce("text", F.lit("")))).alias("x"))
+    rows = written(rows.select("doc_id", "_t", "_h", "x.line", "x.total"), "quality-lines")
+    common = rows.groupBy("_h", "line").agg(F.count_distinct(F.struct("doc_id")).alias("docs")).where(F.col("docs") > limit)
     common = common.select(F.col("_h").alias("_ch"), F.col("line").alias("_cl"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_cs"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_t"), F.lit(salts)).cast("int"))
-    hit = salted.join(common, (F.col("line") == F.col("_cl")) & (F.col("_salt") == F.col("_cs")) & F.col("_h").eqNullSafe(F.col("_ch")))
-    removed = hit.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_rt")).agg(F.sum(F.col("each") * F.col("times")).alias("removed_words"))
+    hit = salted.join(common.hint("merge"), (F.col("line") == F.col("_cl")) & (F.col("_salt") == F.col("_cs")) & F.col("_h").eqNullSafe(F.col("_ch")))
+    each = hit.groupBy("doc_id", "_t", "line").agg(F.max("total").alias("total"))
+    removed = each.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_rt")).agg(F.sum("total").alias("removed_words"))
     out = stats.join(removed, stats["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_rt")), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
