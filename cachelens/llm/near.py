@@ -137,8 +137,9 @@ def _exact(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd
             yield part[["a", "b"]][keep]
 
 
-def _across(bucket: pd.DataFrame, most: int, similarity: float, miss: float) -> pd.DataFrame:
-    """Pairs of a bucket's block pair in different components that signatures don't rule out: for each document its best `most`."""
+def _across(bucket: pd.DataFrame, similarity: float, miss: float, by_component: bool) -> pd.DataFrame:
+    """Of a bucket's block pair, what signatures don't rule out across components: the best partner of each document
+    (a, b), or the components (b) that a document (a) may belong to. Documents of the largest component only answer."""
     sides = bucket["side"].to_numpy()
     ids, comp, sig = bucket["id"].to_numpy(), bucket["comp"].to_numpy(), _rows(bucket["sig"])
     if (sides == 2).any():  # one block against itself
@@ -147,23 +148,46 @@ def _across(bucket: pd.DataFrame, most: int, similarity: float, miss: float) ->
         left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     names, counts = np.unique(comp, return_counts=True)
     largest = names[np.argmax(counts)]
-    out = []
+    out = set()
     for mine, others in ((left, right), (right, left)):
         for i in mine[comp[mine] != largest].tolist():
             rest = others[comp[others] != comp[i]]
             alive, hits = _alike(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest], similarity, miss)
-            for j in alive[np.argsort(-hits, kind="stable")][:most].tolist():
-                out.append((min(ids[i], ids[rest[j]]), max(ids[i], ids[rest[j]])))
+            if by_component:
+                out.update((int(ids[i]), int(c)) for c in np.unique(comp[rest[alive]]) if c == largest or comp[i] > c)
+            elif len(alive):
+                j = rest[alive[np.argmax(hits)]]
+                out.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
         if left is right:
             break
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _arena(part: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """Exact check of documents (asks) against a block of a component's members: one link of each document that has any."""
+    sets = shingles(utf8(part["text"]), k)
+    asks = part["asks"].to_numpy()
+    members, ids = np.flatnonzero(~asks), part["id"].to_numpy()
+    out = []
+    if len(members) and asks.any():
+        sizes = np.array([len(sets[m]) for m in members])
+        every, owner = np.concatenate([sets[m] for m in members]), np.repeat(np.arange(len(members)), sizes)
+        for i in np.flatnonzero(asks).tolist():
+            mine = sets[i]
+            at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            both = np.bincount(owner[mine[at] == every], minlength=len(members))
+            linked = np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both))
+            if len(linked):
+                j = ids[members[linked[0]]]
+                out.append((min(ids[i], j), max(ids[i], j)))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def components(links: DataFrame) -> DataFrame:
     """Smallest id that each end of a link reaches: id, comp. Large-star and small-star steps until nothing changes.
 
     Only rows of links travel, with aggregation before each shuffle; the number of rounds grows with the logarithm of a
-    component's size. nodes is not needed for ids without links.
+    component's size. Ids without links have no row.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
@@ -181,17 +205,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, block: int = 2048, arena: int = 256) -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their k-word shingle sets.
 
     docs: doc_id long, text string; other columns are ignored. A-Z are lower-cased; words are runs of characters other
     than 0x20 and 0x09-0x0D. Documents with equal sets are one class, represented by the smallest id. Representatives
     that share a band (32 bands of 5 hashes: at similarity 0.8 all miss with a chance of 3 in a million) are candidates.
-    First each is compared with its bucket's smallest id; then, in buckets that still hold several components, block by
-    block with members of other components, the most alike first, four times as many each round, until no pair is left
-    that was not compared and signatures don't rule out. So a bucket of many equal texts costs its length, and pairs
-    within a component are never formed. Signatures are compared in batches of 32 and a pair is dropped when the posterior
-    chance that it reaches the similarity falls below `miss`; the others are verified on their full sets.
+    First each is compared with its bucket's smallest id, then, in buckets that still hold several components, with its
+    most alike document of another one. Last, what is left apart is settled: a document that signatures don't keep out of
+    a component of its bucket is compared with all its members, block by block, on full sets. So a bucket of many alike
+    texts costs its length, pairs within a component are never formed, and none across components is given up.
+    Signatures are compared in batches of 32 and a pair is dropped when the posterior chance that it reaches the
+    similarity falls below `miss`; the others are verified on their full sets.
 
     Returns for each row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
     Texts without words, and null texts, have no shingles, are linked with nothing and kept; with fewer than k words the
@@ -223,27 +248,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         two = one.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return written(two.mapInPandas(partial(_exact, k=k, percent=percent), PAIR), "near-links")
 
-    pairs = inside.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pairs = written(with_sig(pairs).mapInPandas(partial(_plausible, similarity=similarity, miss=miss), PAIR), "near-pairs")
-    links, tried, most = verified(pairs), pairs, 1
-    while True:
-        comps = written(components(reps, links), "near-comps")
+    def open_buckets(comps: DataFrame) -> DataFrame:
+        """Members of buckets with several components, dealt into pairs of blocks."""
         named = inside.join(comps, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        open_ = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("m")).where("lo < hi and m > 2")
-        blocks = F.ceil(F.col("m") / block).cast("int")
-        left = named.join(open_.select("band", blocks.alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("m")).where("lo < hi and m > 2")
+        left = named.join(mixed.select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
         side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") == lo, 0).otherwise(1)
-        dealt = dealt.select("band", lo.alias("lo"), hi.alias("hi"), "id", "comp", side.alias("side")).join(sig, "id")
-        found = dealt.groupBy("band", "lo", "hi").applyInPandas(partial(_across, most=most, similarity=similarity, miss=miss), PAIR).distinct()
-        new = written(found.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        whole = most > 4 * block
-        if new.isEmpty() and whole:
-            break
-        if not new.isEmpty():
-            links, tried = links.unionByName(verified(new)), tried.unionByName(new)
-        most = most * 4 if not new.isEmpty() else 8 * block
+        return dealt.select("band", lo.alias("lo"), hi.alias("hi"), "id", "comp", side.alias("side")).join(sig, "id")
+
+    def across(comps: DataFrame, by_component: bool) -> DataFrame:
+        work = partial(_across, similarity=similarity, miss=miss, by_component=by_component)
+        return written(open_buckets(comps).groupBy("band", "lo", "hi").applyInPandas(work, PAIR).distinct(), "near-across")
+
+    def settled(asked: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links between documents a and the members of components b."""
+        members = comps.select("id", "comp").unionByName(asked.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
+        size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).join(asked.groupBy(F.col("b").alias("comp")).agg(F.count(F.lit(1)).alias("q")), "comp")
+        size = size.select("comp", F.ceil(F.col("m") / arena).cast("int").alias("mb"), F.ceil(F.col("q") / arena).cast("int").alias("qb"))
+        some = members.join(size, "comp").select("comp", "id", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("mb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
+        asks = asked.select(F.col("a").alias("id"), F.col("b").alias("comp")).join(size, "comp").select("comp", "id", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("j"))
+        rows = some.unionByName(asks)
+        used = written(texts.join(rows.select("id").distinct(), "id").dropDuplicates(["id"]), "near-texts")
+        return written(rows.join(used, "id").groupBy("comp", "i", "j").applyInPandas(partial(_arena, k=k, percent=percent), PAIR), "near-links")
+
+    pairs = inside.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = written(with_sig(pairs).mapInPandas(partial(_plausible, similarity=similarity, miss=miss), PAIR), "near-pairs")
+    links = verified(pairs)
+    comps = written(components(links), "near-comps")
+    new = across(comps, False).join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(written(new, "near-pairs")))
+    comps = written(components(links), "near-comps")
+    asked = across(comps, True)
+    more = settled(asked, comps)
+    if not more.isEmpty():
+        comps = written(components(links.unionByName(more)), "near-comps")
     comps = comps.select(F.col("id").alias("rep"), "comp")
     named = classes.join(comps, "rep", "left").select("class", F.coalesce("comp", "rep").alias("component"))
     out = sketches.join(named, "class", "left")
