@@ -235,6 +235,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     inside = written(members.join(buckets, "band"), "near-members")
     sig = reps.select("id", "sig")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("doc_id is not null")
+    # texts of the candidates, gathered once
+    some = written(texts.join(inside.select("id").distinct().hint("merge"), "id").dropDuplicates(["id"]), "near-texts")
     similarity = percent / 100
 
     def with_sig(pairs: DataFrame) -> DataFrame:
@@ -242,8 +244,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         return one.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        some = written(texts.join(used, "id").dropDuplicates(["id"]), "near-texts")
         one = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return written(two.mapInPandas(partial(_exact, k=k, percent=percent), PAIR), "near-links")
@@ -267,11 +267,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         members = comps.select("id", "comp").unionByName(asked.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
         size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).join(asked.groupBy(F.col("b").alias("comp")).agg(F.count(F.lit(1)).alias("q")), "comp")
         size = size.select("comp", F.ceil(F.col("m") / arena).cast("int").alias("mb"), F.ceil(F.col("q") / arena).cast("int").alias("qb"))
-        some = members.join(size, "comp").select("comp", "id", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("mb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
+        answer = members.join(size, "comp").select("comp", "id", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("mb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
         asks = asked.select(F.col("a").alias("id"), F.col("b").alias("comp")).join(size, "comp").select("comp", "id", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("j"))
-        rows = some.unionByName(asks)
-        used = written(texts.join(rows.select("id").distinct(), "id").dropDuplicates(["id"]), "near-texts")
-        return written(rows.join(used, "id").groupBy("comp", "i", "j").applyInPandas(partial(_arena, k=k, percent=percent), PAIR), "near-links")
+        rows = answer.unionByName(asks)
+        return written(rows.join(some, "id").groupBy("comp", "i", "j").applyInPandas(partial(_arena, k=k, percent=percent), PAIR), "near-links")
 
     pairs = inside.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = written(with_sig(pairs).mapInPandas(partial(_plausible, similarity=similarity, miss=miss), PAIR), "near-pairs")
