@@ -18,12 +18,13 @@ import numpy as np
 U = np.uint64
 MAGIC = b"CLRC"
 VERSION = 1
-HEAD = struct.Struct("<4sHHIIIIII")  # magic, version, 0, vocabulary, documents, ids, lanes, bytes of words, crc32 of all that follows
+#: Magic, version, 0, vocabulary, documents, ids, lanes, bytes of words, crc32 of all that follows.
+HEAD = struct.Struct("<4sHHIIIIII")
 T0 = 20  # log2 of the total of order 0
 TW = 12  # log2 of the total of the weights
 SHARE, BITS2 = U(T0 + TW), 18
 TOP, BOTTOM = U(1 << 48), U(1 << 44)
-STEPS, LANES, REBUILD = 256, 4096, 8
+STEPS, LANES, REBUILD = 256, 4096, 32
 
 
 class Model:
@@ -88,7 +89,7 @@ class Model:
         self.slot[:n] = ((self.last[:n] * 0x9E3779B1 + ids * 0x85EBCA6B) >> 7) & ((1 << BITS2) - 1)
         self.last[:n] = ids
         self.steps += 1
-        if self.steps % REBUILD == 0 or self.steps < REBUILD:
+        if self.steps % REBUILD == 0 or self.steps & (self.steps - 1) == 0:  # soon at first, then seldom
             self.rebuild()
 
 
