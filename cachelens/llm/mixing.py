@@ -15,6 +15,7 @@ from cachelens.llm._store import written
 
 WEIGHTS = (5, 2, 1)
 N_WORDS = r"[^\x20\x09-\x0D]+"
+ADDED = ("size", "source_size", "target", "copies")
 UNIT = "source string, doc_id long, size long, times long, block long, p double"
 
 
@@ -139,8 +140,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
 
     Empty and null texts have size 0 and weigh nothing; a source of size 0 has target 0 and takes none; repeated rows
     (same source, id and size) are one unit and taken together; an empty table gives an empty result; null ids are ids.
-    Returns the columns of docs with size, source_size, target (double) and copies.
+    Returns the columns of docs with size, source_size, target (double) and copies, which replace columns of that name.
     """
+    docs = docs.drop(*ADDED)
     spark = docs.sparkSession
     ship(spark)
     slim = written(docs.select("source", "doc_id", n_words(F.col("text")).alias("size")), "mix-sizes")
@@ -172,4 +174,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as mix() takes it, with the columns of docs."""
-    return mix(docs.select(*docs.columns), **options).where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    clash = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    mixed = mix(docs.withColumnsRenamed(clash), **options).where("copies > 0")
+    each = mixed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
