@@ -64,8 +64,8 @@ def fitted(sizes: list[int], capacity: int) -> list[list[int]]:
     return []
 
 
-def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: int, most: int, group: int) -> Iterator[pd.DataFrame]:
-    encode, tail = encoder(tokenizer, spaces=False, limit=1_200_000).encode, packed([end])
+def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: int, most: int, group: int, remember: int) -> Iterator[pd.DataFrame]:
+    encode, tail = encoder(tokenizer, spaces=False, limit=remember).encode, packed([end])
     sequence = TaskContext.get().partitionId() * STRIDE
     rows: list[tuple] = []
     rest: list[tuple] = []
@@ -110,7 +110,7 @@ def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: i
     yield frame()
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, piece: int = 1024, group: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, piece: int = 1024, group: int = 512, remember: int = 1_200_000) -> DataFrame:
     """Every token of every document in exactly one piece, pieces laid gapless into sequences of at most `length` tokens.
 
     docs: doc_id long, text string; other columns are ignored. A document is its ids and `end`. Stretches of `length`
@@ -118,10 +118,12 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, piec
     about `group` sequences at a time are spread over windows by differencing. No shuffle: groups are made within the
     partitions of the input, so a lost task is redone alone, and its last group wastes less than a sequence.
 
+    remember: pieces of text whose ids a Python worker keeps, about 200 bytes each; results don't depend on it.
+
     A null or empty text is one piece that holds `end`; repeated rows and equal ids are packed each; an empty table gives
     no rows; a null doc_id stays null. Returns doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id and offset. Padding is not stored: a sequence reaches from 0 to its last piece's end.
     """
     ship(docs.sparkSession)
-    work = partial(_packed, tokenizer=tokenizer, end=end, length=length, most=piece, group=group)
+    work = partial(_packed, tokenizer=tokenizer, end=end, length=length, most=piece, group=group, remember=remember)
     return docs.select("doc_id", "text").mapInPandas(work, PIECES)
