@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
             over = len(b) - free  # the smallest sets of b fill a's empty ones, its largest meet a's smallest
             meet = a[len(a) - over :]
             both = a[: len(a) - over] + b[over:] + [(x[0] + y[0], (x[1], y[1])) for x, y in zip(reversed(meet), b[:over])]
-        both.sort(key=lambda x: x[0], reverse=True)
+        both.sort(key=itemgetter(0), reverse=True)
         heapq.heappush(heap, ((both[-1][0] if len(both) == k else 0) - both[0][0], i, both))
     out = []
     for _, tree in heap[0][2] if heap else []:
@@ -110,7 +111,7 @@ def _packed(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, length: i
     yield frame()
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, piece: int = 1024, group: int = 512, remember: int = 1_200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, piece: int = 1024, group: int = 128, remember: int = 1_200_000) -> DataFrame:
     """Every token of every document in exactly one piece, pieces laid gapless into sequences of at most `length` tokens.
 
     docs: doc_id long, text string; other columns are ignored. A document is its ids and `end`. Stretches of `length`
