@@ -93,4 +93,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_perspectives, op3_toxicity, op4_mix, op5_search, op6_substrings, op7_quality, op8_revisits, op9_tokens, op10_near_duplicates, pipeline)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_perspectives": """
+        WITH t AS (SELECT conv_id, turn // 256 AS page, turn, role, coalesce(text, '') AS text FROM conversations),
+        p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+        j AS (SELECT t.*, participant, role = participant AS own,
+            '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+            FROM t JOIN p USING (conv_id)),
+        k AS (SELECT *, CAST(length(head) + coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, participant, page
+            ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM j)
+        SELECT conv_id, participant, page, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_target_turns,
+            string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
+            coalesce(string_agg(at_ || '-' || (at_ + length(text)), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
+        FROM k GROUP BY conv_id, participant, page""",
+    "op8_revisits": r"""
+        WITH u AS (SELECT page_id AS n, substr(md5(html), 1, 16) AS tag, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM pages),
+        c AS (SELECT n, tag, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+            || regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1), '/$', '') AS url_key FROM u),
+        r AS (SELECT 2 * n AS record_id, url_key, n AS ts, tag AS etag, n, true AS full_ FROM c UNION ALL
+            SELECT 2 * n + 1, url_key, CASE WHEN n % 9 = 0 THEN n - 1000 ELSE n + 1000 END, CASE n % 5 WHEN 0 THEN 'other' WHEN 1 THEN NULL ELSE tag END, n, false FROM c WHERE n % 3 = 0),
+        s AS (SELECT *, last_value(CASE WHEN full_ THEN record_id END IGNORE NULLS) OVER w AS source_id, last_value(CASE WHEN full_ THEN etag END IGNORE NULLS) OVER w AS source_tag FROM r
+            WINDOW w AS (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, CASE WHEN source_id IS NULL THEN 'unresolved' WHEN etag <> source_tag THEN 'mismatch' WHEN etag = source_tag THEN 'resolved' ELSE 'unchecked' END AS status FROM s WHERE NOT full_)
+        SELECT record_id, url_key, ts, status, source_id,
+            CASE WHEN status = 'resolved' THEN 'content-type=text/html;date=r' || n || ';etag=' || source_tag ELSE 'date=r' || n || ';set-cookie=x' END AS headers FROM f""",
+}
