@@ -19,7 +19,7 @@ OUTCOMES = ("none", "cached", "fetched", "proxied", "s3")
 
 
 def classify(requests: DataFrame, prefix: str = "/api") -> DataFrame:
-    """Adds category (MoatApi-style names are plain: api, get_object, other, error), bucket, key and range_spec.
+    """Adds category (api, get_object, other or error), bucket, key and range_spec.
 
     In order: paths of the control API; GETs of more than one character, where a partNumber parameter makes the request
     'other', a range that can't be read an 'error', and two path parts an object; everything else is 'other'.
