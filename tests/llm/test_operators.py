@@ -61,6 +61,21 @@ def test_pieces_are_the_library_s_ids(path, spaces, parts):
     assert next(encoding.encoder(path, spaces).encode([text])) == encoding.packed(ids)
 
 
+@pytest.mark.parametrize("path, spaces", [(BYTE_BPE, True), (WORD_BPE, False)])
+@pytest.mark.parametrize("limit, part", [(40, 300), (600_000, 1 << 20)])
+def test_remembered_pieces_give_the_same_ids(path, spaces, limit, part, monkeypatch):
+    """Texts in many parts, with a table that grows, is emptied, and meets pieces of 8, 16, 24 and more bytes."""
+    monkeypatch.setattr(encoding, "_PART", part)
+    draw = np.random.default_rng(7)
+    syllables = ["er", "Th", "tion", "é", "ÿ", "ble", "a", "ano", "x" * 7]
+    words = ["".join(draw.choice(syllables, draw.integers(1, 9))) for _ in range(400)] + ["#" * n for n in (1, 8, 9, 16, 24, 25, 90)] + ["日本", "it's"]
+    texts = [None, "", " ", "\n \n"] + ["".join(w + draw.choice([" ", "  ", "\n", ". ", " \n"]) for w in draw.choice(words, draw.integers(1, 60))) for _ in range(120)]
+    some, library = encoding.PieceEncoder(path, spaces, limit), Tokenizer.from_file(path)
+    for _ in range(2):
+        assert list(some.encode(texts)) == [encoding.packed(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+
 def test_pack(docs, corpus):
     library = Tokenizer.from_file(WORD_BPE)
     rows = packing.pack(docs, WORD_BPE).collect()
