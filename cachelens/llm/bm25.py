@@ -52,13 +52,18 @@ class Shard:
         order = sorted(range(len(got)), key=lambda i: (int(got[i][0][np.argmax(got[i][1])]) if len(got[i][0]) else 0, got[i][2], i))
         self.ids, n = [ids[i] for i in order], len(got)
         sizes = np.array([len(got[i][0]) for i in order], np.int64)
-        words = np.repeat([got[i][2] for i in order], sizes)
         terms = np.concatenate([got[i][0] for i in order]) if n else np.zeros(0, np.int64)
-        counts = np.concatenate([got[i][1] for i in order]).astype(float) if n else np.zeros(0)
-        impact = counts * (k1 + 1) / (counts + k1 * (1 - b + b * words / max(average, 1e-9)))
-        docs = np.repeat(np.arange(n), sizes)
+        impact = np.concatenate([got[i][1] for i in order]).astype(float) if n else np.zeros(0)
+        words = np.array([got[i][2] for i in order], np.int64)
+        del got  # arrays with an element for each posting fill the memory; each goes as soon as it can
+        impact = impact * (k1 + 1) / (impact + np.repeat(k1 * (1 - b + b * words / max(average, 1e-9)), sizes))
+        docs = np.repeat(np.arange(n, dtype=np.int32), sizes)
         by_term = np.argsort(terms, kind="stable")
-        self.docs, self.impact, terms = docs[by_term], impact[by_term], terms[by_term]
+        terms = terms[by_term]
+        self.docs = docs[by_term]
+        del docs
+        self.impact = impact[by_term]
+        del impact, by_term
         self.terms, self.start = np.unique(terms, return_index=True)
         self.start = np.append(self.start, len(terms))
         lengths = np.diff(self.start)
