@@ -61,41 +61,46 @@ def _normal(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))), " +", " "), "[0-9]", "0")
 
 
-def _line_totals(text: Column) -> Column:
-    """array<struct<line, total>>: hash of each different normalised line, and its words in all its occurrences."""
-    hashed = F.array_sort(F.transform(lines(text), lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).cast("long").alias("n"))))
+def _line_hash(line: Column, host: Column) -> Column:
+    """Hash of a normalised line on its host."""
+    return F.xxhash64(host, _normal(line))
 
-    def totals(a: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.coalesce(F.get(a, i)["line"] != F.get(a, i - 1)["line"], F.lit(True)))
-        return _let(first, lambda at: F.transform(at, lambda p, j: F.struct(F.get(a, p)["line"].alias("line"), (F.get(a, p)["n"] * (F.coalesce(F.get(at, j + 1), F.size(a)) - p)).alias("total"))))
 
-    return _let(hashed, lambda a: F.when(F.size(a) > 0, totals(a)))
+def _without(text: Column, host: Column, gone: Column) -> Column:
+    """text without the lines whose hashes are in gone; the other lines, blank ones too, stay as they are."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.translate(x, BLANK, "") == "") | ~F.array_contains(gone, _line_hash(x, host))), "\n")
 
 
 def line_rules(docs: DataFrame, host: str = "source", limit: int = 20, keep_share: float = 0.5, least_words: int = 50, salts: int = 16) -> DataFrame:
-    """Statistics of each document and whether it is kept once lines common on its host are removed.
+    """Each text without the lines common on its host, with statistics of the document and whether it is kept then.
 
     docs: doc_id long, text string and the host column; others are ignored. Lines are normalised (case, blanks, digits)
     and hashed; for each host the documents with a line are counted, and lines in more than `limit` documents of a host
-    are removed there. base_failed: fewer than `least_words` words, or more than half of them in repeated 3-word windows.
-    A document is kept if its base passes and at least `least_words` words and `keep_share` of its words are left.
+    are removed from all texts there, kept or not. Other lines stay as they are and in order. n_words to n_repeat_words
+    and base_failed are of the text before: fewer than `least_words` words, or more than half of them in repeated 3-word
+    windows. removed_words are those that the returned text lacks. A document is kept if its base passes and at least
+    `least_words` words and `keep_share` of its words are left.
 
     Counting is pre-aggregated before each shuffle; the lines above the limit are joined back with `salts` copies, so a
     line that every document has is not one task's work. Null and empty texts have no words and fail the base; a null
-    host is a host; repeated rows count as one document and get a row each; a null id is an id; an empty table gives
-    no rows. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words.
+    text stays null; a null host is a host; repeated rows count as one document and get a row each; a null id is an id; an empty
+    table gives no rows. Returns doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, removed_words.
     """
-    stats = docs.select("doc_id", F.xxhash64(F.col(host), F.col("text")).alias("_t"), *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    rows = docs.select("doc_id", F.xxhash64(F.col(host), F.col("text")).alias("_t"), F.col(host).alias("_h"), F.explode(_line_totals(F.coalesce("text", F.lit("")))).alias("x"))
-    rows = written(rows.select("doc_id", "_t", "_h", "x.line", "x.total"), "quality-lines")
-    common = rows.groupBy("_h", "line").agg(F.count_distinct(F.struct("doc_id")).alias("docs")).where(F.col("docs") > limit)
-    common = common.select(F.col("_h").alias("_ch"), F.col("line").alias("_cl"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_cs"))
+    same_text = F.xxhash64(F.col(host), F.col("text")).alias("_t")
+    stats = docs.select("doc_id", same_text, F.col(host).alias("_h"), "text", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    hashes = F.array_distinct(F.transform(lines(F.coalesce("text", F.lit(""))), lambda x: _line_hash(x, F.col(host))))
+    rows = written(docs.select("doc_id", same_text, F.explode(hashes).alias("line")), "quality-lines")
+    common = rows.groupBy("line").agg(F.count_distinct(F.struct("doc_id")).alias("docs")).where(F.col("docs") > limit)
+    common = common.select(F.col("line").alias("_cl"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_cs"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_t"), F.lit(salts)).cast("int"))
-    hit = salted.join(common.hint("merge"), (F.col("line") == F.col("_cl")) & (F.col("_salt") == F.col("_cs")) & F.col("_h").eqNullSafe(F.col("_ch")))
-    each = hit.groupBy("doc_id", "_t", "line").agg(F.max("total").alias("total"))
-    removed = each.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_rt")).agg(F.sum("total").alias("removed_words"))
-    out = stats.join(removed, stats["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_rt")), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    hit = salted.join(common.hint("merge"), (F.col("line") == F.col("_cl")) & (F.col("_salt") == F.col("_cs")))
+    gone = hit.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_rt")).agg(F.collect_set("line").alias("_gone"))  # bounded by one text's lines
+    out = stats.join(gone, stats["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_rt")), "left")
+    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_h"), F.col("_gone"))))
+    left = F.when(F.col("_gone").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("text"))).cast("long"))
+    out = out.withColumn("removed_words", F.col("n_words") - left)
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (left >= least_words) & (left >= keep_share * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "removed_words")
+    return out.select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "removed_words")

@@ -328,6 +328,27 @@ def test_line_rules_edges(spark, docs, corpus):
     assert all(r.removed_words == 0 for r in quality.line_rules(common, limit=30).collect())
 
 
+def test_line_rules_remove_lines(spark):
+    def normal(x):
+        return re.sub("[0-9]", "0", " ".join(words(x)).lower())
+
+    body = ["".join(f" {'abcdefgh'[i]}v{'abcdefgh'[j % 8] * (j // 8 + 1)}" for j in range(60)) for i in range(8)]
+    rows = [(i, f"Menu  {i}\n\n{body[i]}\n \t\nown {'abcdefgh'[i]}\nmenu\t7", "h") for i in range(6)]
+    rows += [(6, "Menu 1\n" + body[6], "other"), (7, None, "h"), (8, "", "h"), (9, "menu 3", "h"), (10, "menu 3\n" + body[7], None), (None, "menu 3\nx", "h"), rows[0]]
+    got = quality.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=5).collect()
+    having = collections.defaultdict(set)
+    for i, t, h in rows:
+        for x in (t or "").split("\n"):
+            having[h, normal(x)].add(i)
+    want = []
+    for i, t, h in rows:
+        left = None if t is None else "\n".join(x for x in t.split("\n") if not words(x) or len(having[h, normal(x)]) <= 5)
+        n, m = len(words(t)), len(words(left))
+        want.append((i, left, n - m, n >= 50 and m >= 50))
+    assert collections.Counter((r.doc_id, r.text, r.removed_words, r.kept) for r in got) == collections.Counter(want)
+    assert sum(r.removed_words == 4 and r.kept for r in got) == 7
+
+
 def test_perspectives(spark):
     turns = [(1, 2, "bob", "b"), (1, 1, "ann", "aa"), (1, 0, "system", "s"), (1, 2, "bob", "b"), (2, 0, "system", "x"), (3, None, None, None), (4, 300, "ann", "late"), (4, 1, "ann", "soon")]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, page int")
