@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cachelens.llm import bm25, chat, mixing, near, packing, quality, substrings, tokenfiles, toxicity, warc
@@ -70,12 +70,48 @@ def captures(pages: DataFrame) -> DataFrame:
     return first.unionByName(later)
 
 
-def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+def _resolved(records: DataFrame) -> DataFrame:
+    found = warc.resolve_revisits(records)
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return found.select("record_id", "url_key", "ts", "status", "source_id", shown.alias("headers"))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(captures(table(spark, sf_dir, "pages")))
+
+
+def recaptures(pages: DataFrame) -> DataFrame:
+    """WARC records for the pages table: three full responses of every page with validators of their own, 500 apart, and a
+    revisit of every page, later than all, between the last two (every fourth of the rest) or earlier than all (every ninth),
+    with the newest validator, the oldest, another or none; and for every page a response and a revisit of its host's root."""
+    tag, n = F.substring(F.md5("html"), 1, 16), F.col("page_id")
+    root = F.concat(F.lit("https://"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("/"))
+    none = F.lit(None).cast("string")
+
+    def response(k: int, url: Column, ts: Column, etag: Column) -> DataFrame:
+        headers = F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.concat(F.lit("t"), ts))
+        return pages.select((8 * n + k).alias("record_id"), url.alias("url"), ts.alias("ts"), F.lit("response").alias("kind"), etag.alias("etag"), none.alias("last_modified"), headers.alias("headers"))
+
+    def revisit(k: int, url: Column, ts: Column, etag: Column) -> DataFrame:
+        headers = F.create_map(F.lit("date"), F.concat(F.lit("r"), n), F.lit("set-cookie"), F.lit("x"))
+        return pages.select((8 * n + k).alias("record_id"), url.alias("url"), ts.alias("ts"), F.lit("revisit").alias("kind"), etag.alias("etag"), none.alias("last_modified"), headers.alias("headers"))
+
+    def version(v: int) -> Column:
+        return F.concat(tag, F.lit(f"-{v}"))
+
+    between = (n % 9 != 0) & (n % 4 == 1)
+    asked = F.when(n % 5 == 0, F.lit("other")).when(n % 5 == 2, version(0)).when(n % 5 != 1, F.when(between, version(1)).otherwise(version(2)))
+    epoch = F.concat(F.lit("h"), F.floor(n / 50))
+    rows = revisit(3, F.col("url"), F.when(n % 9 == 0, n - 1000).when(between, n + 700).otherwise(n + 2000), asked)
+    for v in range(3):
+        rows = rows.unionByName(response(v, F.col("url"), n + 500 * v, version(v)))
+    return rows.unionByName(response(4, root, n, epoch)).unionByName(revisit(5, root, n, epoch))
+
+
+def op8_recrawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(recaptures(table(spark, sf_dir, "pages")))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE)
@@ -92,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_perspectives, op3_toxicity, op4_mix, op5_search, op6_substrings, op7_quality, op8_revisits, op9_tokens, op10_near_duplicates, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_perspectives, op3_toxicity, op4_mix, op5_search, op6_substrings, op7_quality, op8_revisits, op8_recrawls, op9_tokens, op10_near_duplicates, pipeline)}
 SQL: dict[str, str] = {
     "op2_perspectives": """
         WITH t AS (SELECT conv_id, turn // 256 AS page, turn, role, coalesce(text, '') AS text FROM conversations),
@@ -117,4 +153,19 @@ SQL: dict[str, str] = {
         f AS (SELECT *, CASE WHEN source_id IS NULL THEN 'unresolved' WHEN etag <> source_tag THEN 'mismatch' WHEN etag = source_tag THEN 'resolved' ELSE 'unchecked' END AS status FROM s WHERE NOT full_)
         SELECT record_id, url_key, ts, status, source_id,
             CASE WHEN status = 'resolved' THEN 'content-type=text/html;date=r' || n || ';etag=' || source_tag ELSE 'date=r' || n || ';set-cookie=x' END AS headers FROM f""",
+    "op8_recrawls": r"""
+        WITH p AS (SELECT page_id AS n, url, substr(md5(html), 1, 16) AS tag, 'https://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || '/' AS root FROM pages),
+        a AS (SELECT 8 * n + v AS record_id, url, n + 500 * v AS ts, tag || '-' || v AS etag, n, true AS full_ FROM p, (VALUES (0), (1), (2)) x(v)
+            UNION ALL SELECT 8 * n + 3, url, CASE WHEN n % 9 = 0 THEN n - 1000 WHEN n % 4 = 1 THEN n + 700 ELSE n + 2000 END,
+                CASE n % 5 WHEN 0 THEN 'other' WHEN 1 THEN NULL WHEN 2 THEN tag || '-0' ELSE tag || CASE WHEN n % 9 <> 0 AND n % 4 = 1 THEN '-1' ELSE '-2' END END, n, false FROM p
+            UNION ALL SELECT 8 * n + 4, root, n, 'h' || (n // 50), n, true FROM p
+            UNION ALL SELECT 8 * n + 5, root, n, 'h' || (n // 50), n, false FROM p),
+        b AS (SELECT *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM a),
+        r AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+            || regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1), '/$', '') AS url_key FROM b),
+        s AS (SELECT *, last_value(CASE WHEN full_ THEN record_id END IGNORE NULLS) OVER w AS source_id, last_value(CASE WHEN full_ THEN etag END IGNORE NULLS) OVER w AS source_tag FROM r
+            WINDOW w AS (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, CASE WHEN source_id IS NULL THEN 'unresolved' WHEN etag <> source_tag THEN 'mismatch' WHEN etag = source_tag THEN 'resolved' ELSE 'unchecked' END AS status FROM s WHERE NOT full_)
+        SELECT record_id, url_key, ts, status, source_id,
+            CASE WHEN status = 'resolved' THEN 'content-type=text/html;date=r' || n || ';etag=' || source_tag ELSE 'date=r' || n || ';set-cookie=x' END AS headers FROM f""",
 }
