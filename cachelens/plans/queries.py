@@ -432,8 +432,11 @@ def object_store(s: SparkSession, d: str) -> DataFrame:
     return whole.unionByName(objects.read_range(s, root, "obj-3", 4, 14).select(F.concat("path", F.lit("#4-14")).alias("path"), F.octet_length("content").cast("long").alias("length"), F.decode("content", "UTF-8").alias("part")))
 
 
-def _streamed(s: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """What a stream over rows' files gives once it has read all there is, by way of a table in the shared folder."""
+def _streamed(s: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream over rows' files gives in update mode once it has read all there is, by way of a table in the shared folder.
+
+    With keys, the last row of each key, so that windows still open when the stream ends are there too; else all rows.
+    """
     root = _shared(s)
     rows.write.parquet(f"{root}/in")
     stream = transform(s.readStream.schema(rows.schema).parquet(f"{root}/in"))
@@ -441,21 +444,27 @@ def _streamed(s: SparkSession, rows: DataFrame, transform: Callable[[DataFrame],
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    out = s.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{root}/out")
+    if keys:
+        out = out.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in stream.columns if c not in keys])
+    return out.select(*stream.columns)
+
+
+WINDOWS = ("start", *telemetry.LABELS)
 
 
 @query
 def streaming_qps(s: SparkSession, d: str) -> DataFrame:
-    return _streamed(s, a.requests(s, d).withColumnRenamed("node", "peer"), lambda x: streams.qps(x, 3600))
+    return _streamed(s, a.requests(s, d).withColumnRenamed("node", "peer"), lambda x: streams.qps(x, 3600), WINDOWS)
 
 
 @query
 def streaming_throughput(s: SparkSession, d: str) -> DataFrame:
-    return _streamed(s, a.requests(s, d).withColumnRenamed("node", "peer"), lambda x: streams.throughput(x, 3600))
+    return _streamed(s, a.requests(s, d).withColumnRenamed("node", "peer"), lambda x: streams.throughput(x, 3600), WINDOWS)
 
 
 @query
 def streaming_members(s: SparkSession, d: str) -> DataFrame:
     sightings = a.table(s, d, "events").select(F.concat(F.lit("node-"), "user_id").alias("host"), F.lit(PORT).alias("port"), F.col("ts").cast("timestamp").alias("last_seen"), F.floor("value").cast("long").alias("weight"))
-    return _streamed(s, sightings, lambda x: streams.members(x, a.TIMEOUT_S), "update")
+    return _streamed(s, sightings, lambda x: streams.members(x, a.TIMEOUT_S))
