@@ -16,6 +16,8 @@ from cachelens.llm._ship import ship
 from cachelens.llm._store import written
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Two runs of letters with one digit or sign between them.
+JOINED = re.compile(r"(?<![^\W\d_])(?=([^\W\d_]+(?:[\d_]|[^\w\s])[^\W\d_]+))")
 QUOTES = "\"'“”„«»‘’"
 #: Verbs that report speech, and words that address a person.
 REPORTING = frozenset("said says say quote quoted quotes wrote called reported means word words term".split())
@@ -34,7 +36,7 @@ class Lexicon:
 
     EXACT, STEM, FUZZY = 1, 2, 3
 
-    def __init__(self, terms: list[str], stems: list[str], fuzzy_from: int = 5):
+    def __init__(self, terms: list[str], stems: list[str], fuzzy_from: int = 4):
         self.next: list[dict[str, int]] = [{}]
         self.mark = [0]
         self.deep = [0]
@@ -101,24 +103,31 @@ class Lexicon:
 
 
 class Scorer:
-    """Features of a text around its lexicon matches. Words seen before are looked up, not matched again."""
+    """Features of a text around its lexicon matches. Two runs of letters around one digit or sign are also matched whole. Words seen before are looked up, not matched again."""
 
     def __init__(self, terms: list[str], stems: list[str], window: int = 8):
         self.lexicon, self.window, self.known = Lexicon(terms, stems), window, {}
 
     def features(self, text: str | None) -> tuple[float, ...]:
         low = (text or "").lower()
-        words = WORDS.findall(low)
+        words, joined = WORDS.findall(low), JOINED.findall(low)
         known = self.known
         if len(known) > 200_000:
             known.clear()
-        for w in set(words).difference(known):
+        for w in set(words).union(joined).difference(known):
             known[w] = self.lexicon.match(w)
         kinds = list(map(known.__getitem__, words))
-        if not any(kinds):
+        whole = any(map(known.__getitem__, joined))
+        if not whole and not any(kinds):
             return (0.0,) * len(FEATURES)
         counts, quoted, addressed = [0, 0, 0, 0], 0, 0
         spots = [m.span() for m in WORDS.finditer(low)]
+        if whole:  # a term with a digit or sign in it, neither half of which matches, counts at its first half
+            at = {a: i for i, (a, _) in enumerate(spots)}
+            for m in JOINED.finditer(low):
+                i = at[m.start(1)]
+                if known[m[1]] and not kinds[i] and not kinds[i + 1]:
+                    kinds[i], spots[i] = known[m[1]], m.span(1)
         for i, kind in enumerate(kinds):
             if kind:
                 around = words[max(0, i - self.window) : i + self.window + 1]

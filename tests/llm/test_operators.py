@@ -269,6 +269,13 @@ def test_context():
     assert scorer.features(None) == scorer.features("") == (0.0,) * 6
 
 
+@pytest.mark.parametrize("text, fuzzy", [("an id1ot here", 1), ("st_upid.", 1), ("st-upid and id1ot", 2), ("scvm", 1), ("sc4m", 1), ("scu_m!", 1), ("id11ot s-t-upid", 0), ("idi_scum_ot", 0)])
+def test_misspelled_with_signs(text, fuzzy):
+    scorer = toxicity.Scorer(["idiot", "stupid", "scum"], [])
+    assert scorer.features(text)[2] * 6 == fuzzy
+    assert scorer.features("id-iot scum")[0] * 6 == 1 and scorer.features("scum-bag")[0] * 6 == 1
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rnd = random.Random(5)
     clean = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(400)]
