@@ -48,7 +48,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("substrings", drop_repeats), ("mix", mix_sources), ("pack", pack_sequences)]
-#: No stage but the counts of the mix could be said in SQL; tests/llm/test_pipeline.py compares with a brute-force version.
+#: No stage but the counts of the mix could be said in SQL. tests/llm/test_operators.py compares the operators with brute force; tests/llm/test_sql.py
+#: checks of the stages only that ids are a subset, row counts and token totals: no brute-force version of the whole pipeline exists.
 ORACLE_SQL = None
 
 
