@@ -194,10 +194,10 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_near_duplicates(docs, corpus, block):
+@pytest.mark.parametrize("block, chunk", [(512, 1 << 20), (3, 5)])
+def test_near_duplicates(docs, corpus, block, chunk):
     want = brute_components([(i, t) for i, t, *_ in corpus], 4, 80)
-    got = near.near_duplicates(docs, k=4, block=block, arena=block).collect()
+    got = near.near_duplicates(docs, k=4, block=block, chunk=chunk).collect()
     assert len(got) == len(corpus)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
@@ -205,6 +205,52 @@ def test_near_duplicates(docs, corpus, block):
     assert sum(not r.kept for r in got) >= 5
 
 
+def changed(text, *at):
+    w = text.split()
+    for i in at:
+        w[i] = f"other{i}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def repeated_ids():
+    p, q, lone = (" ".join(f"{c}{j}" for j in range(90)) for c in "pql")
+    return [(1, p), (1, q), (5, changed(p, 40)), (6, changed(q, 10)), (7, lone), (7, changed(q, 60)), (7, lone), (None, p), (None, p), (8, ""), (8, None), (8, "")]
+
+
+def test_near_duplicates_with_repeated_ids(spark, repeated_ids):
+    df = spark.createDataFrame([(*r, "x") for r in repeated_ids], "doc_id long, text string, text_hash string")
+    got = collections.Counter((r.doc_id, r.n_shingles > 0, r.component_id) for r in near.near_duplicates(df).collect())
+    assert got == collections.Counter({(1, True, 1): 2, (5, True, 1): 1, (6, True, 1): 1, (7, True, 7): 2, (7, True, 1): 1, (None, True, None): 2, (8, False, 8): 3})
+    left = near.unique(df)
+    assert left.columns == df.columns
+    texts = dict(enumerate(t for _, t in repeated_ids))
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([(1, texts[0]), (1, texts[1]), (7, texts[4]), (None, texts[0]), (8, ""), (8, None)])
+
+
+@settings(max_examples=60, deadline=None)
+@given(links=st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_forest(links):
+    u, v = (np.array([x[i] for x in links], np.int64) for i in (0, 1))
+    low = list(range(31))
+    for _ in range(31):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = dict(zip(*map(np.ndarray.tolist, near.forest(u, v)), strict=True))
+    assert got == {i: x for i, x in enumerate(low) if x != i}
+
+
+def test_components_of_a_long_chain(spark):
+    """Links in many tasks, so that contraction in place is not enough."""
+    order = random.Random(4).sample(range(400), 400)
+    links = [(order[i], order[i + 1]) for i in range(250)] + [(order[i], order[300]) for i in range(301, 400)] + [(5, 5)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(12)
+    got = {r.id: r.comp for r in near.components(df, chunk=20).collect()}
+    for group in (order[:251], order[300:]):
+        assert {got.get(i, i) for i in group} == {min(group)}
+    assert not set(order[251:300]) & set(got)
+
+
 def test_pruning_keeps_alike_pairs():
     assert near.least_matches(0.8, 1e-4) == tuple(sorted(near.least_matches(0.8, 1e-4)))
     assert all(m < 0.8 * n for m, n in zip(near.least_matches(0.8, 1e-4), range(32, 161, 32), strict=True))
