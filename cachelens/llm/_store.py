@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one is made only where it is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir. Where it is unset one is made, but only in local mode: on a cluster a folder of the
+    driver's machine would silently miss on executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cachelens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,6 +28,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), once nothing that is still to run reads them."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(d)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with, for names of helper columns."""
+    p = "_"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cachelens.llm._ship import ship
-from cachelens.llm._store import written
+from cachelens.llm._store import fresh, prefix, written
 
 WEIGHTS = (5, 2, 1)
 N_WORDS = r"[^\x20\x09-\x0D]+"
@@ -141,6 +141,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     Empty and null texts have size 0 and weigh nothing; a source of size 0 has target 0 and takes none; repeated rows
     (same source, id and size) are one unit and taken together; an empty table gives an empty result; null ids are ids.
     Returns the columns of docs with size, source_size, target (double) and copies, which replace columns of that name.
+    Targets are worked out on the driver from a row for each source; that table is joined as Spark sees fit by its size.
     """
     docs = docs.drop(*ADDED)
     spark = docs.sparkSession
@@ -150,11 +151,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     goal = targets([(s, n) for s, n, _ in per], weights, share, most)
     rate = {s: goal[s] / n if n else Fraction(0) for s, n, _ in per}
     rows = [(s, n, float(goal[s]), int(rate[s]), float(rate[s] - int(rate[s])), -(-c // block)) for s, n, c in per]
-    rates = spark.createDataFrame(rows, "_source string, source_size long, target double, _whole long, _part double, _blocks long")
-    rates = F.broadcast(rates)  # a row for each source
+    names = docs.columns
+    own = prefix(docs)  # of helper columns that stand beside those of docs
+    rates = spark.createDataFrame(rows, f"{own}source string, source_size long, target double, {own}whole long, {own}part double, {own}blocks long")
     units = slim.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
-    units = units.join(rates, units["source"].eqNullSafe(rates["_source"])).where("_part > 0")
-    units = units.select("source", "doc_id", "size", "times", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), "_blocks").alias("block"), F.col("_part").alias("p"))
+    units = units.join(rates, units["source"].eqNullSafe(rates[f"{own}source"])).where(F.col(f"{own}part") > 0)
+    units = units.select("source", "doc_id", "size", "times", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), f"{own}blocks").alias("block"), F.col(f"{own}part").alias("p"))
     blocks, settled = max([r[5] for r in rows], default=1), []
     while blocks > 1:
         flown = written(units.groupBy("source", "block").applyInPandas(partial(_block, seed=seed, last=False), UNIT), "mix-flown")
@@ -165,16 +167,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     more = settled[0]
     for x in settled[1:]:
         more = more.unionByName(x)
-    more = more.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.lit(1).alias("_more"))
-    known = docs.select(*docs.columns, n_words(F.col("text")).alias("_size"))
-    known = known.join(rates, known["source"].eqNullSafe(rates["_source"]))
-    joined = known.join(more, known["source"].eqNullSafe(F.col("_s")) & known["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_z")), "left")
-    return joined.select(*[known[c] for c in docs.columns], F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") + F.coalesce("_more", F.lit(0))).cast("long").alias("copies"))
+    more = more.select(F.col("source").alias(f"{own}s"), F.col("doc_id").alias(f"{own}d"), F.col("size").alias(f"{own}z"), F.lit(1).alias(f"{own}more"))
+    known = docs.withColumn(f"{own}size", n_words(F.col("text")))
+    known = known.join(rates, known["source"].eqNullSafe(F.col(f"{own}source")))
+    same = F.col("source").eqNullSafe(F.col(f"{own}s")) & F.col("doc_id").eqNullSafe(F.col(f"{own}d")) & (F.col(f"{own}size") == F.col(f"{own}z"))
+    joined = known.join(more, same, "left")
+    copies = (F.col(f"{own}whole") + F.coalesce(f"{own}more", F.lit(0))).cast("long")
+    return joined.select(*names, F.col(f"{own}size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as mix() takes it, with the columns of docs."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    """The mix itself: each document as often as mix() takes it, with the columns of docs, those of clashing names too."""
+    names, own = docs.columns, prefix(docs)
+    clash = {c: f"{own}own_{c}" for c in names if c.lower() in ADDED}
     mixed = mix(docs.withColumnsRenamed(clash), **options).where("copies > 0")
-    each = mixed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    each = mixed.withColumn(fresh(mixed, "_i"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select(*[F.col(clash.get(c, c)).alias(c) for c in names])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cachelens.llm._ship import ship
-from cachelens.llm._store import fresh, written
+from cachelens.llm._store import dropped, fresh, written
 from cachelens.llm._text import U, mix, utf8, windows, word_prints
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -227,10 +227,12 @@ def components(links: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     of one document in a task to one; what is left in several tasks takes a large-star and a small-star step, in which
     links alone travel, aggregated before each shuffle. Links that fit in one task are done by contraction alone.
     """
-    edges = links.select("a", "b").where("a <> b")
+    edges, stars = links.select("a", "b").where("a <> b"), None
     while True:
         tasks = max(1, -(-edges.count() // chunk))
         edges = written(edges.coalesce(tasks).mapInPandas(partial(_forests, chunk=chunk), PAIR), "near-forest")
+        if stars is not None:
+            dropped(stars)
         if tasks == 1:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
         ends = edges.select("a", F.lit(1).alias("low")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("low")))
@@ -243,7 +245,9 @@ def components(links: DataFrame, chunk: int = 1 << 20) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ways = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(low, "a").select(F.explode(ways).alias("e")).select("e.a", "e.b")
-        edges = written(small.where("a <> b").distinct(), "near-stars")
+        stars = written(small.where("a <> b").distinct(), "near-stars")
+        dropped(edges)
+        edges = stars
 
 
 def _relabelled(comps: DataFrame, links: DataFrame, chunk: int) -> DataFrame:
@@ -297,9 +301,11 @@ def grouped(docs: DataFrame, k: int, percent: int, miss: float, block: int, chun
     places = F.when(F.col("comp") == F.col("largest"), places).otherwise(F.concat(places, asking))
     dealt = open_.select("band", "number", "id", "comp", "sig", F.explode(places).alias("p")).select("band", "number", "id", "comp", "sig", "p.i", "p.j", "p.asks")
     rivals = dealt.groupBy("band", "i", "j").applyInPandas(partial(_rivals, similarity=similarity, miss=miss), RIVALS)
-    rivals = written(rivals, "near-rivals").join(some, "id")
-    more = rivals.groupBy("band", "i", "j").applyInPandas(partial(_settled, k=k, percent=percent), PAIR)
-    comps = _relabelled(comps, written(more, "near-links"), chunk)
+    rivals = written(rivals, "near-rivals")
+    more = rivals.join(some, "id").groupBy("band", "i", "j").applyInPandas(partial(_settled, k=k, percent=percent), PAIR)
+    more = written(more, "near-links")
+    comps = _relabelled(comps, more, chunk)
+    dropped(buckets, inside, some, pairs, links, rivals, more)
     named = reps.select("id", "class", "doc_id").join(comps, "id", "left").select("class", F.coalesce("comp", "id").alias("comp"), F.struct("doc_id", F.col("id").alias("row")).alias("f"))
     firsts = named.groupBy("comp").agg(F.min("f").alias("first"))
     out = sketches.select("row", "doc_id", "text_hash", "n_shingles", "class").join(named.select("class", "comp").join(firsts, "comp").select(F.col("class").alias("c"), "first"), (F.col("class") == F.col("c")) & F.col("doc_id").isNotNull(), "left")

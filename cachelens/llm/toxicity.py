@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cachelens.llm._ship import ship
-from cachelens.llm._store import written
+from cachelens.llm._store import dropped, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Two runs of letters with one digit or sign between them.
@@ -218,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> dict:
     terms, stems = learned_lexicon(sample)
     schema = "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)
     rows = sample.mapInPandas(partial(_features, terms=terms, stems=stems, columns=["toxic"]), schema).toPandas()
+    dropped(sample)
     y = rows["toxic"].to_numpy(float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
     if not len(y) or y.min() == y.max():

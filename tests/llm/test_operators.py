@@ -173,6 +173,32 @@ def test_substrings(docs, corpus, chunks, monkeypatch):
     assert sum(r[2] > 0 for r in got) >= 5
 
 
+def test_windows_of_one_fingerprint_are_told_apart(docs, corpus, monkeypatch):
+    """With first fingerprints of three bits nearly all windows collide, and the second ones decide."""
+    real = substrings.windows
+
+    def poor(prints, bounds, k, other=False):
+        h, fits = real(prints, bounds, k, other)
+        return (h, fits) if other else (h & np.uint64(7), fits)
+
+    monkeypatch.setattr(substrings, "windows", poor)
+    monkeypatch.setattr(substrings, "layout", lambda n: (1, 1))
+    rows = docs.where("length(text) < 20000").select("doc_id", "text", "source").toPandas().assign(_chunk=0, text_hash=0)
+    earlier = substrings._earliest(substrings._extend(rows, substrings._probe(substrings._emit(rows, 50, 1)), 50, 1))
+    got = substrings._kept(rows, earlier, 50)
+    assert collections.Counter((None if i is np.nan or i != i else i, *x) for i, *x in got.drop(columns="text_hash").astype({"doc_id": object}).replace({float("nan"): None}).itertuples(index=False)) == collections.Counter(repeats([(None if i != i else int(i), t) for i, t in zip(rows["doc_id"], rows["text"])], 50))
+
+
+def test_cleaned_keeps_rows_apart(spark):
+    passage, clean = " ".join(f"p{i}" for i in range(60)), " ".join(f"c{i}" for i in range(30))
+    rows = [(1, passage, 1, "x"), (2, passage + " tail", 2, "y"), (2, clean, 3, "z"), (2, passage + " tail", 4, None), (3, passage, 5, "x"), (4, None, 6, "x"), (None, clean + "\n", 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, text_hash string")
+    got = substrings.cleaned(df)
+    assert got.columns == df.columns
+    want = [rows[0], (2, "tail", 2, "y"), rows[2], (2, "tail", 4, None), (3, "", 5, "x"), rows[5], rows[6]]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -281,6 +307,17 @@ def test_mix(docs, corpus, block):
         assert abs(sum(r.size * r.copies for r in mine) - goal[s]) <= max(30, 0.05 * goal[s])
 
 
+def test_mix_with_clashing_columns(spark):
+    """Columns named like helpers or results, in any case, and whole texts taken as often as mix() says."""
+    names = ["doc_id", "text", "source", "_size", "_source", "__whole", "_more", "_blocks", "_i", "Size", "copies", "_own_copies"]
+    rows = [(i, "w " * (i % 40), "ab"[i % 2], *range(i, i + 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c in ('text', 'source') else 'long'}" for c in names))
+    how_often = {r.doc_id: r["copies"] for r in mixing.mix(df.drop("copies", "Size")).select("doc_id", "copies").collect()}
+    got = mixing.taken(df)
+    assert got.columns == names
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter({r: how_often[r[0]] for r in rows if how_often[r[0]]})
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     p, x = rng.random(300), np.column_stack((np.ones(300), rng.integers(1, 500, 300)))
