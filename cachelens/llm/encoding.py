@@ -90,23 +90,29 @@ class _Table:
         self.n = self.used = 0
         self.keys, self.off, self.size = [np.zeros(1 << 14, U) for _ in range(3)], np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.slots = np.full(1 << 16, -1, np.int32)
+        self.slots, self.words = np.full(1 << 16, -1, np.int32), np.zeros(1 << 16, U)  # entries, and their first words
 
     @staticmethod
     def hash(keys: list[np.ndarray]) -> np.ndarray:
         return mix(keys[0] + keys[1] * U(0x9E3779B97F4A7C15) + keys[2] * U(0xC2B2AE3D27D4EB4F))
 
     def find(self, keys: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-        """Entries of the keys, -1 where there is none."""
+        """Entries of the keys, -1 where there is none. Pieces have no zero bytes, so where the first word is not full it says all."""
         got = np.full(len(h), -1, np.int64)
         todo, mask = np.arange(len(h)), U(len(self.slots) - 1)
+        first, full = keys[0], keys[0] >> U(56) != 0
         while len(todo):
-            entry = self.slots[(h & mask).astype(np.int64)]
-            there = entry >= 0
-            same = there & (self.keys[0][entry] == keys[0]) & (self.keys[1][entry] == keys[1]) & (self.keys[2][entry] == keys[2])
-            got[todo[same]] = entry[same]
-            rest = np.flatnonzero(there & ~same)
-            todo, h, keys = todo[rest], h[rest] + U(1), [k[rest] for k in keys]
+            slot = (h & mask).view(np.int64)
+            entry = self.slots.take(slot)
+            same = self.words.take(slot) == first
+            more = np.flatnonzero(same & full)
+            if len(more):
+                e, k = entry[more], todo[more]
+                same[more] = (self.keys[1].take(e) == keys[1].take(k)) & (self.keys[2].take(e) == keys[2].take(k))
+            hit = np.flatnonzero(same)
+            got[todo[hit]] = entry[hit]
+            rest = np.flatnonzero((entry >= 0) & ~same)
+            todo, h, first, full = todo[rest], h[rest] + U(1), first[rest], full[rest]
         return got
 
     def _place(self, h: np.ndarray, entries: np.ndarray) -> None:
@@ -115,6 +121,7 @@ class _Table:
             slot = (h & mask).astype(np.int64)
             free = self.slots[slot] < 0
             self.slots[slot[free]] = entries[free]
+            self.words[slot[free]] = self.keys[0][self.slots[slot[free]]]
             lost = np.flatnonzero(self.slots[slot] != entries)
             h, entries = h[lost] + U(1), entries[lost]
 
@@ -140,6 +147,7 @@ class _Table:
             while 2 * self.n > len(self.slots):
                 self.slots = np.full(2 * len(self.slots), -1, np.int32)
             self.slots[:] = -1
+            self.words = np.zeros(len(self.slots), U)
             self._place(self.hash([k[: self.n] for k in self.keys]), np.arange(self.n))
         else:
             self._place(h, entries)
@@ -290,8 +298,10 @@ class PieceEncoder:
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, spaces: bool, limit: int = 600_000) -> PieceEncoder:
-    """One for each Python worker, which serves many tasks; what it has learned doesn't change results. 600,000 pieces take about 120 MB."""
+def encoder(path: str, spaces: bool, limit: int = 1_200_000) -> PieceEncoder:
+    """One for each Python worker, which serves many tasks; what it has learned doesn't change results. A million pieces take
+    about 100 MB; the limit is that of the last call."""
     if (path, spaces) not in _encoders:
         _encoders[path, spaces] = PieceEncoder(path, spaces, limit)
+    _encoders[path, spaces].limit = limit
     return _encoders[path, spaces]

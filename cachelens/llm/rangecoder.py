@@ -17,80 +17,121 @@ import numpy as np
 
 U = np.uint64
 MAGIC = b"CLRC"
-VERSION = 1
+VERSION = 2
 #: Magic, version, 0, vocabulary, documents, ids, lanes, bytes of words, crc32 of all that follows.
 HEAD = struct.Struct("<4sHHIIIIII")
 T0 = 20  # log2 of the total of order 0
 TW = 12  # log2 of the total of the weights
 SHARE, BITS2 = U(T0 + TW), 18
 TOP, BOTTOM = U(1 << 48), U(1 << 44)
-STEPS, LANES, REBUILD = 256, 4096, 32
+STEPS, LANES, REBUILD = 256, 4096, 16
+
+
+#: What an entry's confidence changes by, by confidence and, from 16 on, after a hit; entries of 0 or 1 that miss are replaced.
+_CHANGE = np.array([0, 0, *(-((c + 1) >> 1) for c in range(2, 16)), *[1] * 15, 0])
 
 
 class Model:
+    """Entries of the tables of order 1 and 2 are id * 16 + confidence."""
+
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
         self.counts = np.zeros(vocabulary, np.int64)
-        self.one = np.zeros(vocabulary, np.int64)  # id * 16 + confidence
-        self.two = np.zeros(1 << BITS2, np.int64)
+        self.seen: list[np.ndarray] = []  # ids that the counts do not hold yet
+        self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(1 << BITS2, np.int64)
+        self.last, self.slot = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.hits = np.ones((256, 3)) * (0.5, 0.25, 0.25)  # by both confidences: order 0 only, order 1, order 2
-        self.last = np.zeros(lanes, np.int64)
-        self.slot = np.zeros(lanes, np.int64)
         self.steps = 0
         self.rebuild()
+        self.weigh()
 
     def rebuild(self) -> None:
-        """Order 0 as integer frequencies with total 2^T0, and the id at each of them."""
+        """Order 0 as integer frequencies with total 2^T0."""
+        if self.seen:
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.vocabulary)
+            self.seen = []
         f = 1 + self.counts * ((1 << T0) - self.vocabulary) // max(1, int(self.counts.sum()))
         f[0] += (1 << T0) - int(f.sum())
         self.freq = f
-        self.start = np.zeros(self.vocabulary + 1, np.int64)
-        np.cumsum(f, out=self.start[1:])
+        self.start = np.cumsum(f) - f
         self.at = None
 
+    def weigh(self) -> None:
+        """Weights of the three orders by both confidences, which sum to 2^TW."""
+        w = np.floor(self.hits[:, 1:].T / self.hits.sum(1) * ((1 << TW) - 16)).astype(np.int64)
+        self.weights = (1 << TW) - w[0] - w[1], w[0], w[1]
+
     def predict(self) -> None:
-        """Both predicted ids and the three weights, which sum to 2^TW."""
-        self.e1, self.e2 = self.one[self.last], self.two[self.slot]
-        self.p1, self.p2 = self.e1 >> 4, self.e2 >> 4
-        self.bucket = ((self.e2 & 15) << 4) | (self.e1 & 15)
-        share = self.hits / self.hits.sum(1, keepdims=True)
-        w = np.floor(share[:, 1:] * ((1 << TW) - 16)).astype(np.int64)
-        self.w1, self.w2 = w[:, 0][self.bucket], w[:, 1][self.bucket]
-        self.w0 = (1 << TW) - self.w1 - self.w2
+        self.e1, self.e2 = self.one.take(self.last), self.two.take(self.slot)
+        self.p1, self.p2, self.s1, self.s2 = self.e1 >> 4, self.e2 >> 4, self.e1 & 15, self.e2 & 15
+        self.bucket = (self.s2 << 4) + self.s1
+        self.w0, self.w1, self.w2 = (w.take(self.bucket) for w in self.weights)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.w0 * self.start[ids] + ((self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)) << T0)
-        size = self.w0 * self.freq[ids] + ((self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)) << T0)
-        return low, size
-
-    def found(self, target: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the targets."""
+        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        below = self.w1 * (self.p1 < ids)
+        below += self.w2 * (self.p2 < ids)
+        here = self.w1 * self.hit1
+        here += self.w2 * self.hit2
+        below <<= T0
+        here <<= T0
+        below += self.w0 * self.start.take(ids)
+        here += self.w0 * self.freq.take(ids)
+        return below, here
+
+    def found(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the targets, and these intervals."""
         if self.at is None:
             self.at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.freq)
-        ids = np.full(len(target), -1)
-        below = np.zeros(len(target), np.int64)
-        for p, w in ((self.p1, self.w1), (self.p2, self.w2)):
-            low, size = self.interval(p)
-            inside = (target >= low) & (target < low + size)
-            ids = np.where(inside, p, ids)
-            below += w * (target >= low + size)
-        plain = np.minimum(np.maximum((target - (below << T0)) // self.w0, 0), (1 << T0) - 1)
-        return np.where(ids >= 0, ids, self.at[plain])
+        m1, m2 = self.w1 << T0, self.w2 << T0
+        before, same = self.p1 < self.p2, self.p1 == self.p2
+        low1 = self.w0 * self.start.take(self.p1)
+        low2 = self.w0 * self.start.take(self.p2)
+        low1 += m2 * (self.p2 < self.p1)
+        low2 += m1 * before
+        end1, end2 = low1 + m1, low2 + m2
+        end1 += m2 * same
+        end2 += m1 * same
+        end1 += self.w0 * self.freq.take(self.p1)
+        end2 += self.w0 * self.freq.take(self.p2)
+        past1, past2 = target >= end1, target >= end2
+        in1, in2 = (target >= low1) & ~past1, (target >= low2) & ~past2
+        begin = m1 * past1
+        begin += m2 * past2
+        # both operands are below 2^53 and the divisor below 2^12, so the floor of the quotient is exact
+        plain = ((target - begin) / self.w0).astype(np.int64)
+        ids = self.at.take(plain, mode="clip").astype(np.int64)
+        begin += self.w0 * self.start.take(ids)
+        width = self.w0 * self.freq.take(ids)
+        for p, low, end, inside in ((self.p1, low1, end1, in1), (self.p2, low2, end2, in2)):
+            at = np.flatnonzero(inside)
+            lo = low[at]
+            ids[at], begin[at], width[at] = p[at], lo, end[at] - lo
+        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        return ids, begin, width
 
     def learn(self, ids: np.ndarray) -> None:
         n = len(ids)
-        hit1, hit2 = self.p1[:n] == ids, self.p2[:n] == ids
-        outcome = np.where(hit2, 2, hit1)
-        self.hits += np.bincount(self.bucket[:n] * 3 + outcome, minlength=768).reshape(256, 3)
-        for table, at, e, hit in ((self.one, self.last[:n], self.e1[:n], hit1), (self.two, self.slot[:n], self.e2[:n], hit2)):
-            sure = e & 15
-            table[at] = np.where(hit, e + (sure < 15), np.where(sure > 1, e - (sure + 1) // 2, (ids << 4) | 1))
-        np.add.at(self.counts, ids, 1)
-        self.slot[:n] = ((self.last[:n] * 0x9E3779B1 + ids * 0x85EBCA6B) >> 7) & ((1 << BITS2) - 1)
-        self.last[:n] = ids
+        self.hits += np.bincount((self.bucket * 3 + np.maximum(self.hit1, self.hit2 * 2))[:n], minlength=768).reshape(256, 3)
+        new = (ids << 4) + 1
+        for table, at, e, sure, hit in ((self.one, self.last, self.e1, self.s1, self.hit1), (self.two, self.slot, self.e2, self.s2, self.hit2)):
+            state = ((hit << 4) + sure)[:n]
+            e = e[:n] + _CHANGE.take(state)
+            weak = np.flatnonzero(state < 2)
+            e[weak] = new[weak]
+            table[at[:n]] = e
+        self.seen.append(ids)
+        slot = self.last[:n] * 0x9E3779B1
+        slot += ids * 0x85EBCA6B
+        slot >>= 7
+        slot &= (1 << BITS2) - 1
+        self.slot[:n], self.last[:n] = slot, ids
         self.steps += 1
-        if self.steps % REBUILD == 0 or self.steps & (self.steps - 1) == 0:  # soon at first, then seldom
+        early = self.steps & (self.steps - 1) == 0  # soon at first, then seldom
+        if self.steps % REBUILD == 0 or early:
             self.rebuild()
+        if self.steps % 4 == 0 or early:
+            self.weigh()
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -128,7 +169,7 @@ def encode_block(docs: list[int | None], ids: list[np.ndarray], vocabulary: int)
             unit = width[:m] >> SHARE
             low[:m] += unit * start[:m]
             width[:m] = unit * size[:m]
-            _send(low, width, m, out, at)
+            _send(low[:m], width[:m], out, at)
             model.learn(x[:m])
         for shift in (48, 32, 16, 0):
             out[np.arange(lanes), at] = (low >> U(shift)).astype(np.uint16)
@@ -140,24 +181,28 @@ def encode_block(docs: list[int | None], ids: list[np.ndarray], vocabulary: int)
     return head + body
 
 
-def _pending(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    same = (low ^ (low + width)) < TOP
-    return same, np.flatnonzero(same | (width < BOTTOM))
+def _due(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes that can send 16 bits, their low ends, and their widths, cut where a carry could still reach the bits sent."""
+    idx = np.flatnonzero(width < TOP)
+    lo, w = low[idx], width[idx]
+    same = (lo ^ (lo + w)) < TOP
+    due = same | (w < BOTTOM)
+    idx, lo, w, same = idx[due], lo[due], w[due], same[due]
+    if not same.all():
+        w = np.where(same, w, (~lo + U(1)) & (BOTTOM - U(1)))
+    return idx, lo, w
 
 
-def _send(low: np.ndarray, width: np.ndarray, m: int, out: np.ndarray, at: np.ndarray) -> None:
-    same, idx = _pending(low[:m], width[:m])
+def _send(low: np.ndarray, width: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    idx, lo, w = _due(low, width)
     while len(idx):
-        lo, w = low[idx], width[idx]
-        w = np.where(same[idx], w, (~lo + U(1)) & (BOTTOM - U(1)))
-        out[idx, at[idx]] = (lo >> U(48)).astype(np.uint16)
-        at[idx] += 1
-        low[idx], width[idx] = lo << U(16), w << U(16)
-        lo, w = low[idx], width[idx]
-        again, sub = _pending(lo, w)
-        same = np.zeros(m, bool)
-        same[idx] = again
-        idx = idx[sub]
+        to = at[idx]
+        out[idx, to] = lo >> U(48)
+        at[idx] = to + 1
+        lo, w = lo << U(16), w << U(16)
+        low[idx], width[idx] = lo, w
+        again, lo, w = _due(lo, w)
+        idx = idx[again]
 
 
 def decode_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
@@ -187,21 +232,18 @@ def decode_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
             model.predict()
             unit = width >> SHARE
             target = np.minimum((code - low) // unit, U((1 << (T0 + TW)) - 1)).view(np.int64)
-            x = model.found(target)
-            start, size_ = (v.view(U) for v in model.interval(x))
-            low[:m] += (unit * start)[:m]
-            width[:m] = (unit * size_)[:m]
-            same, idx = _pending(low[:m], width[:m])
+            x, start, size_ = model.found(target)
+            low[:m] += (unit * start.view(U))[:m]
+            width[:m] = (unit * size_.view(U))[:m]
+            idx, lo, w = _due(low[:m], width[:m])
             while len(idx):
-                lo, w = low[idx], width[idx]
-                w = np.where(same[idx], w, (~lo + U(1)) & (BOTTOM - U(1)))
-                code[idx] = (code[idx] << U(16)) | words[at[idx]]
-                at[idx] += 1
-                low[idx], width[idx] = lo << U(16), w << U(16)
-                again, sub = _pending(low[idx], width[idx])
-                same = np.zeros(m, bool)
-                same[idx] = again
-                idx = idx[sub]
+                to = at[idx]
+                code[idx] = (code[idx] << U(16)) | words[to]
+                at[idx] = to + 1
+                lo, w = lo << U(16), w << U(16)
+                low[idx], width[idx] = lo, w
+                again, lo, w = _due(lo, w)
+                idx = idx[again]
             flat[first[:m] + s] = x[:m]
             model.learn(x[:m])
     ids = np.split(flat, np.cumsum(table[2])[:-1]) if docs else []

@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachelens.llm._ship import ship
@@ -16,7 +16,7 @@ from cachelens.llm.encoding import encoder, packed
 from cachelens.llm.rangecoder import decode_block, encode_block
 
 BLOCKS = "part int, block long, n_ids long, payload binary"
-IDS = "part int, block long, seq long, doc_id long, ids binary"
+IDS = "part int, block long, doc_id long, at long, ids binary"
 
 
 def _encoded(batches: Iterator[pd.DataFrame], tokenizer: str, end: int, vocabulary: int, block_ids: int) -> Iterator[pd.DataFrame]:
@@ -49,42 +49,50 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part, block, payload in zip(batch["part"], batch["block"], batch["payload"], strict=True):
             docs, ids = decode_block(payload)
-            out = pd.DataFrame({"part": part, "block": block, "seq": range(len(docs)), "doc_id": pd.array(docs, "Int64"), "ids": [x.astype("<u4").tobytes() for x in ids]})
+            sizes = np.array([len(x) for x in ids], np.int64)
+            out = pd.DataFrame({"part": part, "block": block, "doc_id": pd.array(docs, "Int64"), "at": np.cumsum(sizes) - sizes, "ids": [x.astype("<u4").tobytes() for x in ids]})
             yield out.astype({"part": "int32"})
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, vocabulary: int = 50_257, block_ids: int = 1 << 20) -> None:
     """Writes docs (doc_id long, text string; other columns are ignored) as token files under `path`.
 
-    Rows are dealt by ranges of doc_id, so file and block order is id order; null ids come first. A block ends with the
-    document that brings it to `block_ids` ids, carries its own checksum, and can be decoded alone. Null and empty texts
-    hold `end` alone; repeated rows are all written; an empty table leaves no blocks.
+    Rows are dealt by ranges of (doc_id, hash of the text), so file and block order is id order, null ids first and rows of
+    one id by their texts, and a repeated id is not one task's work. A block ends with the document that brings it to
+    `block_ids` ids, carries its own checksum, and can be decoded alone. Null and empty texts hold `end` alone; repeated
+    rows are all written; an empty table leaves no blocks.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     work = partial(_encoded, tokenizer=tokenizer, end=end, vocabulary=vocabulary, block_ids=block_ids)
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(work, BLOCKS).write.option("compression", "none").parquet(path)
+    ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered.select("doc_id", "text").mapInPandas(work, BLOCKS).write.option("compression", "none").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of token files: doc_id, ids (little-endian unsigned 32-bit, with the end id), start (ids of all documents before)."""
-    ship(spark)
-    blocks = spark.read.schema(BLOCKS).parquet(path)
+def _first(blocks: DataFrame) -> DataFrame:
+    """Ids before each block: part, block, b0."""
     sizes = blocks.select("part", "block", "n_ids")
     per_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each file
     before_part = per_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p0"))
     in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.join(before_part, "part").select("part", "block", (F.col("p0") + F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))).alias("b0"))
-    return blocks.mapInPandas(_decoded, IDS), first
+    return sizes.join(before_part, "part").select("part", "block", (F.col("p0") + F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))).alias("b0"))
+
+
+def _started(spark: SparkSession, path: str, *columns: Column) -> DataFrame:
+    ship(spark)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    rows = blocks.mapInPandas(_decoded, IDS).select("part", "block", "doc_id", "at", *columns)
+    return rows.join(_first(blocks), ["part", "block"]).withColumn("start", F.col("b0") + F.col("at"))
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of token files: doc_id, start (ids of all documents before), ids (little-endian unsigned 32-bit, with the end id)."""
+    return _started(spark, path, F.col("ids")).select("doc_id", "start", "ids")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """As read_tokens says, with each document's start."""
-    ids, first = read_tokens(spark, path)
-    slim = ids.select("part", "block", "seq", "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    within = Window.partitionBy("part", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slim.withColumn("d0", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return placed.join(first, ["part", "block"]).select("doc_id", (F.col("b0") + F.col("d0")).alias("start"), "n_tokens", "ids_crc32")
+    """Digests of what read_tokens gives, made before anything is joined: doc_id, start, n_tokens, ids_crc32."""
+    digests = (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    return _started(spark, path, *digests).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -143,10 +143,23 @@ def test_token_files(spark, docs, empty, corpus, tmp_path):
         ids = np.array(library.encode(text[r.doc_id] or "", add_special_tokens=False).ids + [0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    whole = {(r.doc_id, r.start): r.ids for r in tokenfiles.read_tokens(spark, f"file://{tmp_path}/t").collect()}
+    assert {k: (len(v) // 4, zlib.crc32(v)) for k, v in whole.items()} == {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in got}
     tokenfiles.write_tokens(empty, f"file://{tmp_path}/e", BYTE_BPE)
     assert tokenfiles.documents(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_token_files_order_repeated_ids(spark, tmp_path):
+    """Rows of one id have one order, whatever order they come in."""
+    rows = [(7, f"text {i} of seven") for i in range(40)] + [(None, "x"), (None, "y"), (9, "")]
+    found = []
+    for k in range(3):
+        random.Random(k).shuffle(rows)
+        tokenfiles.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(k + 1), f"file://{tmp_path}/{k}", BYTE_BPE, block_ids=50)
+        found.append(sorted(map(repr, tokenfiles.documents(spark, f"file://{tmp_path}/{k}").collect())))
+    assert found[0] == found[1] == found[2]
+
+
 # Duplicates
 
 
