@@ -312,7 +312,7 @@ def grouped(docs: DataFrame, k: int, percent: int, miss: float, block: int, chun
     return out.select("row", "doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, block: int = 512, chunk: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, block: int = 256, chunk: int = 1 << 20) -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their k-word shingle sets.
 
     docs: doc_id long, text string; other columns are ignored. A-Z are lower-cased; words are runs of characters other
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def unique(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, block: int = 512, chunk: int = 1 << 20) -> DataFrame:
+def unique(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, block: int = 256, chunk: int = 1 << 20) -> DataFrame:
     """The rows of docs that stay when of each component of near_duplicates() only the first stays, by doc_id.
 
     All columns of docs stay as they are. Of rows with one id and text one stays, null ids and null texts included; of

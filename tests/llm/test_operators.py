@@ -350,26 +350,58 @@ def edits(a, b):
     return row[-1]
 
 
-@given(word=st.text("abcs", max_size=8))
+@given(word=st.text("abcs", max_size=11))
 def test_automaton_is_edit_distance(word):
-    terms, stems = ["abcab", "cabbac", "sss"], ["bbc"]
-    want = 1 if word in terms else 2 if any(word.startswith(s) for s in stems) else 3 if any(edits(word, t) <= 1 for t in terms if len(t) >= 5) else 0
-    assert toxicity.Lexicon(terms, stems).match(word) == want
+    terms, stems = {"abcab": 2.0, "cabbac": 1.0, "sss": 3.0, "abcabcab": 4.0, "bbcab": 1.5, "bbc": 0.5}, {"bbc": 2.5, "cas": 0.7}
+    exact = terms.get(word, 0)
+    stem = max((w for s, w in stems.items() if word.startswith(s) and word != s), default=0)
+    stem = max(stem, stems.get(word, 0))
+    fuzzy = max((w for t, w in terms.items() if t != "bbcab" and 0 < edits(word, t) <= (len(t) >= 4) + (len(t) >= 8)), default=0)
+    want = (1, exact) if exact else (2, stem) if stem else (3, fuzzy) if fuzzy and word != "abcb" else (0, 0)
+    lexicon = toxicity.Lexicon(terms, stems, frozenset(["abcb"]), frozenset(["bbcab"]))
+    assert lexicon.match(word) == want
+    assert bool(lexicon.lookalikes(word)) == (want[0] == 3)
+
+
+def test_stems_and_terms_of_one_spelling():
+    one = toxicity.Lexicon({"dumb": 1.0}, {"dumb": 2.0})
+    assert one.match("dumbest") == (2, 2.0) and one.match("dumb") == (1, 1.0) and one.match("dum") == (3, 1.0)
+
+
+TERMS = {"idiot": 4.0, "stupid": 4.0, "scum": 4.0}
 
 
 def test_context():
-    scorer = toxicity.Scorer(["idiot"], [])
-    plain, quoted = scorer.features("you are an idiot"), scorer.features("the sign said idiot on it")
-    assert plain[0] > 0 and plain[4] > 0 and quoted[0] == 0 and quoted[3] > 0
-    assert scorer.features("an idoit, an idiott")[2] > 0
+    scorer = toxicity.Scorer(TERMS, {}, context={"you": 0.5, "sign": -0.5})
+    at = dict(zip(toxicity.FEATURES, range(6)))
+    plain, told = scorer.features("you are an idiot"), scorer.features("the sign said idiot on it")
+    assert plain[at["exact"]] > 0 and plain[at["context"]] == 0.5 and told[at["context"]] == -0.5
+    for text in ('he wrote "what an idiot, so stupid" there', "er schrieb „du idiot“ dort", "il a dit « un idiot » hier", "“idiot”"):
+        quoted = scorer.features(text)
+        assert quoted[at["exact"]] == quoted[at["density"]] == 0 and quoted[at["quoted"]] > 0
+    assert scorer.features('"quoted" idiot "again"')[at["exact"]] > 0
+    assert scorer.features("an idiott")[at["fuzzy"]] > 0
     assert scorer.features(None) == scorer.features("") == (0.0,) * 6
 
 
 @pytest.mark.parametrize("text, fuzzy", [("an id1ot here", 1), ("st_upid.", 1), ("st-upid and id1ot", 2), ("scvm", 1), ("sc4m", 1), ("scu_m!", 1), ("id11ot s-t-upid", 0), ("idi_scum_ot", 0)])
 def test_misspelled_with_signs(text, fuzzy):
-    scorer = toxicity.Scorer(["idiot", "stupid", "scum"], [])
-    assert scorer.features(text)[2] * 6 == fuzzy
-    assert scorer.features("id-iot scum")[0] * 6 == 1 and scorer.features("scum-bag")[0] * 6 == 1
+    scorer = toxicity.Scorer(TERMS, {})
+    assert scorer.features(text)[2] * toxicity.MOST / 4 == pytest.approx(fuzzy)
+    assert scorer.features("id-iot scum")[0] > 0 and scorer.features("scum-bag")[0] > 0
+
+
+def test_long_text_is_scored_whole():
+    scorer = toxicity.Scorer(TERMS, {})
+    assert scorer.features("fine words " * 100_000 + "idiot")[0] > 0
+
+
+def test_weights_that_may_not_be_negative():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 3))
+    y = (3 * x[:, 0] - 2 * x[:, 1] - x[:, 2] + rng.normal(0, 0.3, 400) > 0).astype(float)
+    w = toxicity.logistic(x, y, upward=(0, 1))
+    assert w[1] > 0 and w[2] == 0 and w[3] < 0
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -379,7 +411,7 @@ def test_toxicity_learns_and_holds_out(spark):
     docs = spark.createDataFrame([(i, t, 3.0) for i, t in rows], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows if i < 1000] + [(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert {"dunce", "oafish"} <= set(model["terms"])
+    assert {"dunce", "oafish"} <= set(model["learned"]["terms"])
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert all((got[i] >= 0.3) == (i % 5 == 0) for i in range(400)) and 0 <= got[1000] == got[1001] < 0.3
     constant = toxicity.fit(docs, labels.where("toxic = 9"))
