@@ -16,6 +16,8 @@ from cachelens.llm._store import fresh, prefix, written
 WEIGHTS = (5, 2, 1)
 N_WORDS = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "copies")
+#: Sources whose rates, some hundred bytes each, are broadcast; more are joined.
+BROADCAST = 50_000
 UNIT = "source string, doc_id long, size long, times long, block long, p double"
 
 
@@ -141,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     Empty and null texts have size 0 and weigh nothing; a source of size 0 has target 0 and takes none; repeated rows
     (same source, id and size) are one unit and taken together; an empty table gives an empty result; null ids are ids.
     Returns the columns of docs with size, source_size, target (double) and copies, which replace columns of that name.
-    Targets are worked out on the driver from a row for each source; that table is joined as Spark sees fit by its size.
+    Targets are worked out on the driver from a row for each source; that table is broadcast up to BROADCAST sources.
     """
     docs = docs.drop(*ADDED)
     spark = docs.sparkSession
@@ -154,6 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     names = docs.columns
     own = prefix(docs)  # of helper columns that stand beside those of docs
     rates = spark.createDataFrame(rows, f"{own}source string, source_size long, target double, {own}whole long, {own}part double, {own}blocks long")
+    rates = F.broadcast(rates) if len(rows) <= BROADCAST else rates
     units = slim.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
     units = units.join(rates, units["source"].eqNullSafe(rates[f"{own}source"])).where(F.col(f"{own}part") > 0)
     units = units.select("source", "doc_id", "size", "times", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), f"{own}blocks").alias("block"), F.col(f"{own}part").alias("p"))
