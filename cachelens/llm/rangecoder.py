@@ -1,10 +1,11 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block holds the ids of whole documents, cut into lanes of equal length that are coded in step. All lanes of a block
-share one model, reset at its start: after each step it learns the ids just coded. Three predictions are mixed: the id
-last seen after the two ids before (order 2, hashed), after the one before (order 1), and the distribution of all ids so
-far (order 0). Order 1 and 2 each put a point mass on their id, weighed by how often predictions of the same confidence
-held; the mixture's cumulative distribution then has a closed form, so a step is a few array operations.
+share one model, reset at its start: after each step it learns the ids just coded. Order 2 (hashed) and order 1 each keep
+the id last seen after the two ids before, and after the one before, with a confidence. The guess is order 2's where its
+confidence is over a third of order 1's, else that; it is mixed, as a point mass, with the distribution of all ids so far (order 0), at the rate at
+which guesses held in the same state: both confidences, and whether both orders say the same. The mixture's cumulative
+distribution has a closed form, so a step is a few array operations.
 Each lane is a carry-less range coder with a 64-bit low end that sends 16 bits at a time.
 """
 
@@ -40,7 +41,7 @@ class Model:
         self.seen: list[np.ndarray] = []  # ids that the counts do not hold yet
         self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(1 << BITS2, np.int64)
         self.last, self.slot = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.hits = np.ones((256, 3)) * (0.5, 0.25, 0.25)  # by both confidences: order 0 only, order 1, order 2
+        self.hits = np.ones((512, 2))  # by both confidences and whether both orders say the same: guesses that failed and held
         self.steps = 0
         self.rebuild()
         self.weigh()
@@ -57,64 +58,47 @@ class Model:
         self.at = None
 
     def weigh(self) -> None:
-        """Weights of the three orders by both confidences, which sum to 2^TW."""
-        w = np.floor(self.hits[:, 1:].T / self.hits.sum(1) * ((1 << TW) - 16)).astype(np.int64)
-        self.weights = (1 << TW) - w[0] - w[1], w[0], w[1]
+        """Weights of order 0 and of the guess, by state, which sum to 2^TW."""
+        w = (self.hits[:, 1] / self.hits.sum(1) * ((1 << TW) - 16)).astype(np.int64)
+        self.weights = (1 << TW) - w, w
 
     def predict(self) -> None:
         self.e1, self.e2 = self.one.take(self.last), self.two.take(self.slot)
         self.p1, self.p2, self.s1, self.s2 = self.e1 >> 4, self.e2 >> 4, self.e1 & 15, self.e2 & 15
-        self.bucket = (self.s2 << 4) + self.s1
-        self.w0, self.w1, self.w2 = (w.take(self.bucket) for w in self.weights)
+        differ = self.p2 - self.p1
+        self.guess = self.p1 + differ * (3 * self.s2 > self.s1)
+        self.bucket = (self.s2 << 5) + (self.s1 << 1) + (differ == 0)
+        self.w0, self.w = (w.take(self.bucket) for w in self.weights)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
-        below = self.w1 * (self.p1 < ids)
-        below += self.w2 * (self.p2 < ids)
-        here = self.w1 * self.hit1
-        here += self.w2 * self.hit2
-        below <<= T0
-        here <<= T0
-        below += self.w0 * self.start.take(ids)
-        here += self.w0 * self.freq.take(ids)
-        return below, here
+        self.hit = self.guess == ids
+        mass = self.w << T0
+        return self.w0 * self.start.take(ids) + mass * (self.guess < ids), self.w0 * self.freq.take(ids) + mass * self.hit
 
     def found(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose intervals hold the targets, and these intervals."""
         if self.at is None:
             self.at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.freq)
-        m1, m2 = self.w1 << T0, self.w2 << T0
-        before, same = self.p1 < self.p2, self.p1 == self.p2
-        low1 = self.w0 * self.start.take(self.p1)
-        low2 = self.w0 * self.start.take(self.p2)
-        low1 += m2 * (self.p2 < self.p1)
-        low2 += m1 * before
-        end1, end2 = low1 + m1, low2 + m2
-        end1 += m2 * same
-        end2 += m1 * same
-        end1 += self.w0 * self.freq.take(self.p1)
-        end2 += self.w0 * self.freq.take(self.p2)
-        past1, past2 = target >= end1, target >= end2
-        in1, in2 = (target >= low1) & ~past1, (target >= low2) & ~past2
-        begin = m1 * past1
-        begin += m2 * past2
+        mass, low = self.w << T0, self.w0 * self.start.take(self.guess)
+        size = self.w0 * self.freq.take(self.guess) + mass
+        past = target >= low + size
+        self.hit = (target >= low) & ~past
+        begin = mass * past
         # both operands are below 2^53 and the divisor below 2^12, so the floor of the quotient is exact
         plain = ((target - begin) / self.w0).astype(np.int64)
         ids = self.at.take(plain, mode="clip").astype(np.int64)
         begin += self.w0 * self.start.take(ids)
         width = self.w0 * self.freq.take(ids)
-        for p, low, end, inside in ((self.p1, low1, end1, in1), (self.p2, low2, end2, in2)):
-            at = np.flatnonzero(inside)
-            lo = low[at]
-            ids[at], begin[at], width[at] = p[at], lo, end[at] - lo
-        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        at = np.flatnonzero(self.hit)
+        ids[at], begin[at], width[at] = self.guess[at], low[at], size[at]
         return ids, begin, width
 
     def learn(self, ids: np.ndarray) -> None:
         n = len(ids)
-        self.hits += np.bincount((self.bucket * 3 + np.maximum(self.hit1, self.hit2 * 2))[:n], minlength=768).reshape(256, 3)
+        self.hits += np.bincount(((self.bucket << 1) + self.hit)[:n], minlength=1024).reshape(512, 2)
         new = (ids << 4) + 1
-        for table, at, e, sure, hit in ((self.one, self.last, self.e1, self.s1, self.hit1), (self.two, self.slot, self.e2, self.s2, self.hit2)):
+        ids_ = ids if n == len(self.last) else np.append(ids, np.zeros(len(self.last) - n, np.int64))
+        for table, at, e, sure, hit in ((self.one, self.last, self.e1, self.s1, self.p1 == ids_), (self.two, self.slot, self.e2, self.s2, self.p2 == ids_)):
             state = ((hit << 4) + sure)[:n]
             e = e[:n] + _CHANGE.take(state)
             weak = np.flatnonzero(state < 2)
