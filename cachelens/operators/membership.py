@@ -85,6 +85,20 @@ def observe(view: DataFrame, answer: DataFrame | None) -> DataFrame:
     return (view if answer is None else answer).select(*VIEW)
 
 
+def observed(view: DataFrame, answers: DataFrame, turn: int) -> DataFrame:
+    """One turn of an agent: it asks a member of its view, drawn by the hash of peer and turn, and takes over that member's view.
+
+    answers: from_host, from_port and the columns of a view, a row for each member that each peer would answer with; a peer
+    without rows does not answer, and the view stays. An empty view stays empty.
+    """
+    draw = F.md5(F.concat_ws(":", "host", F.col("port").cast("string"), F.lit(str(turn))).cast("binary"))
+    asked = view.agg(F.min_by(F.struct(*PEER), draw).alias("asked"))
+    told = answers.join(F.broadcast(asked), F.struct(F.col("from_host").alias("host"), F.col("from_port").alias("port")) == F.col("asked")).select(*VIEW)
+    heard = told.agg((F.count(F.lit(1)) > 0).alias("heard"))  # a row
+    stayed = view.select(*VIEW).crossJoin(F.broadcast(heard)).where("not heard").drop("heard")
+    return told.unionByName(stayed)
+
+
 def diff_gauge(old: DataFrame, new: DataFrame) -> DataFrame:
     """host, port, value: the weight of each member of new, -1 for those that only old has."""
     a, b = old.select(*PEER, F.lit(1).alias("_a")), new.select(*PEER, F.col("weight").alias("_w"), F.lit(1).alias("_b"))
@@ -114,5 +128,6 @@ def from_wire(rows: DataFrame, column: str = "json") -> DataFrame:
 
 def latest(rows: DataFrame, by: list[str]) -> DataFrame:
     """A view from sightings: of each peer (within `by`) the last one."""
-    w = Window.partitionBy(*by, *PEER).orderBy(F.col("last_seen").desc(), F.col("seq").desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "seq")
+    rest = [c for c in rows.columns if c not in (*by, *PEER, "seq")]
+    last = rows.groupBy(*by, *PEER).agg(F.max_by(F.struct(*rest), F.struct("last_seen", "seq")).alias("_last"))
+    return last.select(*[F.col(f"_last.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns if c != "seq"])

@@ -49,14 +49,49 @@ def decision(peer: Column, own: Column, role: Column) -> Column:
     return F.when(peer.isNull(), "s3").when(peer != own, "proxied").when(role == "agent", "s3").otherwise("cache")
 
 
-def outcomes(requests: DataFrame, by: list[str], order: list[str], cache: Column | None = None) -> DataFrame:
+def outcomes(requests: DataFrame, by: list[str], order: list[str], cache: Column | None = None, warm: DataFrame | None = None) -> DataFrame:
     """Adds outcome for a cache without eviction: fetched for the first request of each peer and key, cached for later ones.
 
-    cache: where false, the outcome is the route itself. The window is by peer and key: a hot key is one sorted run.
+    order: columns that number the requests, the last one unique. cache: where false, the outcome is the route itself.
+    warm: keys (columns `by`) that were fetched ahead, so that all their requests are cached. The first request is found by
+    aggregation and joined back, so a hot key is not one sorted run.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    first = F.when(F.row_number().over(w) == 1, "fetched").otherwise("cached")
-    return requests.withColumn("outcome", first if cache is None else F.when(cache, first).otherwise(F.col("route")))
+    firsts = requests.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first")).select(F.struct(*by).alias("_by"), "_first")
+    if warm is not None:
+        ahead = warm.select(F.struct(*by).alias("_by")).distinct().withColumn("_warm", F.lit(True))
+        firsts = firsts.join(ahead, firsts["_by"].eqNullSafe(ahead["_by"]), "left").select(firsts["_by"], "_first", "_warm")
+        firsts = firsts.select("_by", F.when(F.col("_warm").isNull(), F.col("_first")).alias("_first"))
+    names = requests.columns
+    requests = requests.join(firsts, F.struct(*[requests[c].alias(c) for c in by]).eqNullSafe(F.col("_by")), "left").select(*[requests[c] for c in names], "_first")
+    first = F.when(F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False)), "fetched").otherwise("cached")
+    requests = requests.withColumn("_kind", first).drop("_first")
+    first = F.col("_kind")
+    return requests.withColumn("outcome", first if cache is None else F.when(cache, first).otherwise(F.col("route"))).drop("_kind")
+
+
+def facts(requests: DataFrame) -> DataFrame:
+    """Metric facts of classified requests (req_id, category, failed, outcome, bytes, duration_s): a row for each object GET.
+
+    operation is GetObject, status err where the request failed in the proxy and else ok, extra the outcome, none where the
+    cache did not handle the request. Calls of the control API and other requests give no facts.
+    """
+    got = requests.where("category = 'get_object'")
+    status = F.when(F.coalesce("failed", F.lit(False)), "err").otherwise("ok")
+    return got.select("req_id", F.lit("GetObject").alias("operation"), status.alias("status"), F.coalesce("outcome", F.lit("none")).alias("extra"), "bytes", "duration_s")
+
+
+def api_calls(requests: DataFrame, prefix: str = "/api") -> DataFrame:
+    """api, method, status, count of calls of the control API (method, path); of these only answers to members are counted."""
+    members = requests.where((F.col("method") == "GET") & (F.col("path") == f"{prefix}/members"))
+    return members.groupBy(F.lit("members").alias("api"), F.lit("get").alias("method"), F.lit("ok").alias("status")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def health(asked: DataFrame, reachable: DataFrame) -> DataFrame:
+    """asked (with peer, null to ask for the node itself) with status and message: 400 for a peer not among `reachable`."""
+    up = reachable.select(F.col("peer").alias("_p")).distinct()
+    found = asked.join(up, asked["peer"] == up["_p"], "left")
+    bad = F.col("peer").isNotNull() & F.col("_p").isNull()
+    return found.withColumn("status", F.when(bad, 400).otherwise(200)).withColumn("message", F.when(bad, F.concat(F.lit("cannot reach peer "), "peer")).otherwise("")).drop("_p")
 
 
 def _lru(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:

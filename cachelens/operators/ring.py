@@ -17,9 +17,10 @@ BROADCAST_SLOTS = 200_000
 
 
 def build(weights: DataFrame) -> DataFrame:
-    """Ring of the peers in their order. Peers of weight 0 or less own no slots; repeated peers own each of their ranges."""
+    """Ring of the peers in their order. Peers of weight 0 or less own no slots; slots of a repeated peer all join where it came first."""
     before = Window.orderBy("ord", "peer").rowsBetween(Window.unboundedPreceding, -1)
-    placed = weights.where("weight > 0").select("peer", "weight", F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("first"))
+    once = weights.where("weight > 0").groupBy("peer").agg(F.min("ord").alias("ord"), F.sum("weight").alias("weight"))
+    placed = once.select("peer", "weight", F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("first"))
     return placed.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("weight") - 1)).alias("slot"), "peer")
 
 
@@ -61,9 +62,10 @@ def remove(weights: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def nodes(ring: DataFrame) -> DataFrame:
-    """n: runs of equal neighbours."""
-    changed = F.lag("peer").over(Window.orderBy("slot"))
-    return ring.select((changed.isNull() | (changed != F.col("peer"))).alias("first")).agg(F.count_if("first").alias("n"))
+    """n: runs of equal neighbours. Slots meet the one before by a join, so a large ring is not one task's work."""
+    before = ring.select((F.col("slot") + 1).alias("_next"), F.col("peer").alias("_before"))
+    pairs = ring.join(before, ring["slot"] == before["_next"], "left")
+    return pairs.agg(F.count_if(~F.col("peer").eqNullSafe(F.col("_before")) | F.col("_next").isNull()).alias("n"))
 
 
 def vnodes(ring: DataFrame) -> DataFrame:

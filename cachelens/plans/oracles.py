@@ -217,5 +217,25 @@ SQL = {
     "series_mean": f"SELECT peer, operation, extra, status, round(avg(qps), 9) AS mean FROM ({SERIES}, count(*) / 3600.0::DOUBLE AS qps FROM ({REQUESTS}) GROUP BY ALL) GROUP BY ALL",
     "sigv4_canonical": REQUEST,
     "sigv4_signature": SIGNED,
-    "object_store": """SELECT * FROM (VALUES ('obj-1', CAST(13 AS BIGINT), ''), ('dir/obj-2', 64, ''), ('obj-3', 17, ''), ('obj-3#4-14', 10, 'Some bytes')) t(path, length, part)""",
+    "object_store": """SELECT * FROM (VALUES ('north', CAST(14 AS BIGINT), ''), ('maps/south', 40, ''), ('east', 15, ''), ('east#2-9', 7, 'the sun')) t(path, length, part)""",
+    "objects_by_key": "SELECT * FROM (VALUES ('a.(x)/k 1', CAST(3 AS BIGINT), 'one'), ('b+c', 12, 'twelve bytes'), ('none', NULL, NULL)) t(path, length, text)",
+    "streaming_qps": f"{SERIES}, count(*) / 3600.0::DOUBLE AS qps FROM ({REQUESTS}) GROUP BY ALL",
+    "streaming_throughput": f"{SERIES}, CAST(sum(bytes) AS BIGINT) / 3600.0::DOUBLE AS bytes_per_s FROM ({REQUESTS}) GROUP BY ALL",
+    "cache_outcome_warm": f"""WITH r AS ({routed(REQUESTS, 'key')}), o AS (SELECT *, CASE WHEN key % 3 = 0 THEN 'cached' ELSE {OUTCOME.format(by='peer, key')} END AS outcome FROM r)
+        SELECT peer, outcome, count(*) AS n FROM o GROUP BY ALL""",
+    "emitted_facts": f"""WITH c AS (SELECT *, regexp_extract(path, '^/([^/]*)/(.*)$', 1) AS bucket FROM ({CLASSIFIED}) WHERE category = 'get_object'),
+        o AS (SELECT req_id, CASE WHEN req_id % 13 = 0 THEN 'err' ELSE 'ok' END AS status, CASE WHEN bucket <> 'en' THEN 'none'
+            WHEN row_number() OVER (PARTITION BY bucket, regexp_extract(path, '^/([^/]*)/(.*)$', 2) ORDER BY req_id) = 1 THEN 'fetched' ELSE 'cached' END AS extra FROM c)
+        SELECT 'GetObject' AS operation, status, extra, count(*) AS count, CAST(sum(req_id * 10) AS BIGINT) AS bytes, round(sum((req_id % 4) / 100), 4) AS seconds FROM o GROUP BY ALL""",
+    "api_counts": "SELECT 'members' AS api, 'get' AS method, 'ok' AS status, count(*) AS count FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0 HAVING count(*) > 0",
+    "health_checks": f"""SELECT ord, CASE WHEN ord % 5 <> 0 AND weight <= 0 THEN 400 ELSE 200 END AS status,
+        CASE WHEN ord % 5 <> 0 AND weight <= 0 THEN 'cannot reach peer ' || peer ELSE '' END AS message FROM ({weights()})""",
+    "locate_bodies": f"SELECT peer, count(*) AS n FROM ({routed('SELECT o_orderkey FROM orders', 'o_orderkey')}) GROUP BY peer",
+    "observer_turn": f"""WITH v AS ({view(0)}), asked AS (SELECT host FROM v ORDER BY md5(host || ':' || port || ':7') LIMIT 1),
+        heard AS (SELECT CAST(substr(host, 6) AS BIGINT) % 2 = 0 AS h FROM asked)
+        SELECT v.* FROM v, heard WHERE NOT h UNION ALL SELECT w.* FROM ({view(1)}) w, heard WHERE h""",
+    "logs_table": """SELECT 'node-' || (conv_id % 8) AS peer, CASE role WHEN 'user' THEN 'info' WHEN 'assistant' THEN 'warn' ELSE 'error' END AS detected_level, count(*) AS n,
+        min(make_timestamp((1700000000 + conv_id * 1000 + turn) * 1000000)) AS first_ts FROM conversations
+        WHERE make_timestamp((1700000000 + conv_id * 1000 + turn) * 1000000) >= TIMESTAMP '2023-11-15 06:00:00' GROUP BY ALL""",
+    "samples_table": f"SELECT 'duration' AS metric, node, count(*) AS n, max(duration_s) AS most, max(ts) AS last_ts FROM ({REQUESTS}) GROUP BY ALL",
 }

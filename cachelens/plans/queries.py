@@ -13,7 +13,7 @@ from cachelens.functions import hashing, ranges, scalars, signing
 from cachelens.operators import membership, ring, telemetry
 from cachelens.operators import requests as req
 from cachelens.plans import adapters as a
-from cachelens.sources import objects
+from cachelens.sources import objects, tables
 from cachelens.streaming import telemetry as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,15 @@ def route_orders(s: SparkSession, d: str) -> DataFrame:
     return routed.groupBy("peer").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
+@query
+def locate_bodies(s: SparkSession, d: str) -> DataFrame:
+    """Owners of request bodies: the eight bytes of each order key, hashed with their length before them or as they are."""
+    big = F.lpad(F.hex("o_orderkey"), 16, "0")
+    body = F.unhex(F.concat(*[F.substring(big, i, 2) for i in range(15, 0, -2)]))
+    rows = a.table(s, d, "orders").select("o_orderkey", body.alias("body"))
+    return ring.locate(rows, a.slots(s, d), F.col("body")).groupBy("peer").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def route_lineitem(s: SparkSession, d: str) -> DataFrame:
     routed = ring.locate(a.table(s, d, "lineitem").select("l_partkey"), a.slots(s, d), F.col("l_partkey"))
@@ -177,6 +186,14 @@ def member_sync_nway(s: SparkSession, d: str) -> DataFrame:
     return membership.sync(views[0], views[1:], a.now(s, d), a.TIMEOUT_S)
 
 
+@query
+def observer_turn(s: SparkSession, d: str) -> DataFrame:
+    """An agent's view after it asked one member; those of even users answer with the other view."""
+    view, other = a.view(s, d, 0), a.view(s, d, 1)
+    who = view.where("cast(substring(host, 6) as long) % 2 = 0").select(F.col("host").alias("from_host"), F.col("port").alias("from_port"))
+    return membership.observed(view, who.crossJoin(F.broadcast(other)), 7)
+
+
 @query
 def member_diff_gauge(s: SparkSession, d: str) -> DataFrame:
     old = a.view(s, d, 0)
@@ -284,6 +301,38 @@ def cache_outcome(s: SparkSession, d: str) -> DataFrame:
     return req.outcomes(facts, ["peer", "key"], ["ts", "req_id"]).groupBy("peer", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def cache_outcome_warm(s: SparkSession, d: str) -> DataFrame:
+    """Outcomes where the keys divisible by 3 were fetched ahead on their owners."""
+    facts = ring.locate(a.requests(s, d), a.slots(s, d), F.col("key"))
+    warm = facts.where("key % 3 = 0").select("peer", "key")
+    return req.outcomes(facts, ["peer", "key"], ["ts", "req_id"], warm=warm).groupBy("peer", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def emitted_facts(s: SparkSession, d: str) -> DataFrame:
+    """Requests classified, cached by bucket and key where the bucket is the cache's own, and counted as metrics say."""
+    n = F.col("req_id")
+    rows = req.handled(req.classify(a.http_requests(s, d)), "en")
+    got = req.outcomes(rows.where("handled"), ["bucket", "key"], ["req_id"]).select(n.alias("_id"), "outcome")
+    rows = rows.join(got, n == F.col("_id"), "left").select("req_id", "category", (n % 13 == 0).alias("failed"), "outcome", (n * 10).alias("bytes"), (n % 4 / 100).alias("duration_s"))
+    return telemetry.counters(req.facts(rows))
+
+
+@query
+def api_counts(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id")
+    path = F.when(n % 3 == 0, "/api/members").when(n % 3 == 1, "/api/health").otherwise("/api/membersx")
+    return req.api_calls(a.table(s, d, "pages").select(F.when(n % 5 == 0, "POST").otherwise("GET").alias("method"), path.alias("path")))
+
+
+@query
+def health_checks(s: SparkSession, d: str) -> DataFrame:
+    peers = a.weights(s, d)
+    asked = peers.select("ord", F.when(F.col("ord") % 5 != 0, F.col("peer")).alias("peer"))
+    return req.health(asked, peers.where("weight > 0")).select("ord", "status", "message")
+
+
 @query
 def bounded_cache_sim(s: SparkSession, d: str) -> DataFrame:
     facts = ring.locate(a.requests(s, d), a.slots(s, d), F.col("key")).select("peer", "req_id", "ts", F.col("key").cast("string").alias("key"), (F.col("key") % 97 + 1).alias("weight"))
@@ -414,22 +463,53 @@ def sigv4_signature(s: SparkSession, d: str) -> DataFrame:
     return _signable(s, d).select("req_id", auth.alias("authorization"))
 
 
-# Objects and streams
+# Tables, objects and streams
+
+
+@query
+def logs_table(s: SparkSession, d: str) -> DataFrame:
+    """Logs written by day, read back from one day on, by peer and level."""
+    root = _shared(s)
+    tables.append(a.logs(s, d), root)
+    late = tables.logs(s, root).where("day >= date'2023-11-15' and ts >= timestamp_ntz'2023-11-15 06:00:00'")
+    return late.groupBy("peer", "detected_level").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+
+
+@query
+def samples_table(s: SparkSession, d: str) -> DataFrame:
+    """Samples written by day and read back: the last value of each metric and peer."""
+    root = _shared(s)
+    rows = a.requests(s, d).select("ts", F.lit("duration").alias("metric"), F.create_map(F.lit("node"), "node").alias("labels"), F.col("duration_s").alias("value"))
+    tables.append(rows, root)
+    got = tables.samples(s, root).groupBy("metric", F.col("labels")["node"].alias("node"))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.max("ts").alias("last_ts"))
+
+
+@query
+def objects_by_key(s: SparkSession, d: str) -> DataFrame:
+    root = _shared(s)
+    for path, content in (("a.(x)/k 1", b"one"), ("b+c", b"twelve bytes")):
+        objects.write(s, root, path, content)
+    keys = s.createDataFrame([("a.(x)/k 1",), ("b+c",), ("none",)], "path string")
+    return objects.read_keys(s, root, keys).select("path", "length", F.decode("content", "UTF-8").alias("text"))
 
 
 def _shared(s: SparkSession) -> str:
-    return (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cachelens-")).rstrip("/") + f"/{uuid.uuid4().hex}"
+    found = s.conf.get("spark.checkpoint.dir", None)
+    if not found and not s.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="cachelens-")).rstrip("/") + f"/{uuid.uuid4().hex}"
 
 
 @query
 def object_store(s: SparkSession, d: str) -> DataFrame:
     """Objects written, one deleted, the others listed and read, and a range of one."""
     root = _shared(s)
-    for path, content in (("obj-1", b"Hello, store!"), ("dir/obj-2", bytes(64)), ("obj-3", b"0123Some bytes.ef"), ("gone", b"x")):
+    for path, content in (("north", b"cold and clear"), ("maps/south", bytes(40)), ("east", b"..the sun rises"), ("gone", b"x")):
         objects.write(s, root, path, content)
     objects.delete(s, root, "gone")
     whole = objects.listed(s, root).select("path", "length", F.lit("").alias("part"))
-    return whole.unionByName(objects.read_range(s, root, "obj-3", 4, 14).select(F.concat("path", F.lit("#4-14")).alias("path"), F.octet_length("content").cast("long").alias("length"), F.decode("content", "UTF-8").alias("part")))
+    return whole.unionByName(objects.read_range(s, root, "east", 2, 9).select(F.concat("path", F.lit("#2-9")).alias("path"), F.octet_length("content").cast("long").alias("length"), F.decode("content", "UTF-8").alias("part")))
 
 
 def _streamed(s: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Objects in a store: list, stat, read, ranged read, write and delete through Spark's readers and Hadoop's file systems."""
+"""Objects in a store: list, stat, read, ranged read, write and delete through Spark's readers and Hadoop's file systems.
+
+Spark's reader of binary files leaves out files without bytes, so empty objects are in no list and read as missing.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cachelens.config import EngineConfig
-from cachelens.functions.ranges import sliced
 
 
 def s3a_options(config: EngineConfig) -> dict[str, str]:
@@ -28,8 +30,9 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _below(root: str):
-    plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    return F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), rf"{plain}/(.*)$", 1).alias("path")
+    plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    full = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
+    return F.substring(full, F.instr(full, plain) + len(plain), F.length(full)).alias("path")
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -38,9 +41,26 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return files.select(_below(root), "length", "content")
 
 
+def read_keys(spark: SparkSession, root: str, keys: DataFrame, column: str = "path") -> DataFrame:
+    """Rows of keys with length and content of the object each names; null where there is none."""
+    found = read(spark, root).withColumnsRenamed({"path": "_path", "length": "_length", "content": "_content"})
+    both = keys.join(found, keys[column] == found["_path"], "left").drop("_path")
+    return both.withColumnsRenamed({"_length": "length", "_content": "content"})
+
+
 def read_range(spark: SparkSession, root: str, path: str, start: int, stop: int) -> DataFrame:
-    """content of the half-open byte range of one object."""
-    return read(spark, root).where(F.col("path") == path).select("path", sliced(F.col("content"), F.lit(f"bytes={start}-{stop - 1}")).alias("content"))
+    """content of the half-open byte range of one object, cut at its end; no other byte is read. No row without such an object."""
+    p, fs = _path(spark, root, path)
+    rows = []
+    if fs.exists(p):
+        n = max(0, min(stop, fs.getFileStatus(p).getLen()) - start)
+        source = fs.open(p)
+        try:
+            source.seek(start if n else 0)
+            rows.append((path, bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source, n))))
+        finally:
+            source.close()
+    return spark.createDataFrame(rows, "path string, content binary")
 
 
 def _path(spark: SparkSession, root: str, path: str):
