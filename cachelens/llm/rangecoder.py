@@ -3,9 +3,9 @@
 A block holds the ids of whole documents, cut into lanes of equal length that are coded in step. All lanes of a block
 share one model, reset at its start: after each step it learns the ids just coded. Order 2 (hashed) and order 1 each keep
 the id last seen after the two ids before, and after the one before, with a confidence. The guess is order 2's where its
-confidence is over a third of order 1's, else that; it is mixed, as a point mass, with the distribution of all ids so far (order 0), at the rate at
-which guesses held in the same state: both confidences, and whether both orders say the same. The mixture's cumulative
-distribution has a closed form, so a step is a few array operations.
+confidence is over a third of order 1's, else that; it is mixed, as a point mass, with the distribution of all ids so far
+(order 0), at the rate at which guesses held in the same state: both confidences, and whether both orders say the same.
+The mixture's cumulative distribution has a closed form, so a step is a few array operations.
 Each lane is a carry-less range coder with a 64-bit low end that sends 16 bits at a time.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 
 U = np.uint64
 MAGIC = b"CLRC"
-VERSION = 2
+VERSION = 3
 #: Magic, version, 0, vocabulary, documents, ids, lanes, bytes of words, crc32 of all that follows.
 HEAD = struct.Struct("<4sHHIIIIII")
 T0 = 20  # log2 of the total of order 0
@@ -138,7 +138,7 @@ def encode_block(docs: list[int | None], ids: list[np.ndarray], vocabulary: int)
         raise ValueError("ids outside the vocabulary")
     table = np.array([(0 if d is None else d, d is None, len(x)) for d, x in zip(docs, ids, strict=True)], np.int64).reshape(-1, 3)
     meta = zlib.compress(table.T.astype("<i8").tobytes(), 1)
-    words, sizes = b"", np.zeros(0, np.uint32)
+    words, sizes = b"", np.zeros(0, np.uint16)
     if n := len(flat):
         steps, first, full = _lanes(n)
         lanes = len(first) - 1
@@ -155,10 +155,11 @@ def encode_block(docs: list[int | None], ids: list[np.ndarray], vocabulary: int)
             width[:m] = unit * size[:m]
             _send(low[:m], width[:m], out, at)
             model.learn(x[:m])
-        for shift in (48, 32, 16, 0):
-            out[np.arange(lanes), at] = (low >> U(shift)).astype(np.uint16)
+        last = low + U((1 << 32) - 1)  # 32 bits that name a value inside the width, whatever bits follow them
+        for shift in (48, 32):
+            out[np.arange(lanes), at] = (last >> U(shift)).astype(np.uint16)
             at += 1
-        sizes = at.astype("<u4")
+        sizes = at.astype("<u2")
         words = out[np.arange(out.shape[1]) < at[:, None]].astype("<u2").tobytes()
     body = struct.pack("<I", len(meta)) + meta + sizes.tobytes() + words
     head = HEAD.pack(MAGIC, VERSION, 0, vocabulary, len(docs), n, len(sizes), len(words), zlib.crc32(body))
@@ -199,8 +200,8 @@ def decode_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         raise ValueError("not a block, or a damaged one")
     (k,) = struct.unpack_from("<I", body)
     table = np.frombuffer(zlib.decompress(body[4 : 4 + k]), "<i8").reshape(3, docs)
-    sizes = np.frombuffer(body[4 + k : 4 + k + 4 * lanes], "<u4").astype(np.int64)
-    words = np.append(np.frombuffer(body[4 + k + 4 * lanes :], "<u2"), np.zeros(4, np.uint16)).astype(U)
+    sizes = np.frombuffer(body[4 + k : 4 + k + 2 * lanes], "<u2").astype(np.int64)
+    words = np.append(np.frombuffer(body[4 + k + 2 * lanes :], "<u2"), np.zeros(4, np.uint16)).astype(U)
     flat = np.zeros(n, np.int64)
     if n:
         steps, first, full = _lanes(n)
