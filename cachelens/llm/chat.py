@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What markers begin with, and what stands for it in texts and names, so that no turn can render as another.
+MARK, NEUTRAL = "<|im_", "< |im_"
 
 
 def perspectives(turns: DataFrame, page: int = 256, neutral: tuple[str, ...] = ("system",)) -> DataFrame:
@@ -16,13 +18,14 @@ def perspectives(turns: DataFrame, page: int = 256, neutral: tuple[str, ...] = (
     turn numbers (turn div page), so no row grows with a dialogue's length; a page's text continues the page before.
 
     Returns conv_id, participant, page, n_turns, n_target_turns, text and mask: the [from, to) character spans of text
-    that the participant says, as from-to joined by commas (the loss is on these). Turns are ordered by turn, then role
+    that the participant says, as from-to joined by commas (the loss is on these). Markers inside texts and names are made
+    harmless (MARK becomes NEUTRAL). Turns are ordered by turn, then role
     (null first), then text, so ties and repeated rows have one result. A null role is the speaker "unknown", a null text
     the empty one, a null turn is before all others in page -1, null ids form one dialogue. A dialogue of neutral
     speakers alone, and an empty table, give no rows.
     """
     speaker = F.coalesce("role", F.lit("unknown"))
-    rows = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / page), F.lit(-1)).cast("long").alias("page"), F.struct("turn", speaker.alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    rows = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / page), F.lit(-1)).cast("long").alias("page"), F.struct("turn", speaker.alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(NEUTRAL)).alias("text")).alias("t"))
     people = rows.where(~F.col("t.role").isin(*neutral)).select("conv_id", F.col("t.role").alias("participant")).distinct().select(F.col("conv_id").alias("_c"), "participant")
     pages = rows.groupBy("conv_id", "page").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     seen = pages.join(people, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
@@ -30,7 +33,7 @@ def perspectives(turns: DataFrame, page: int = 256, neutral: tuple[str, ...] = (
     def rendered(t: Column) -> Column:
         own = t["role"] == F.col("participant")
         name = F.when(own, F.lit("assistant")).when(t["role"].isin(*neutral), t["role"]).otherwise(F.concat(F.lit("user name="), t["role"]))
-        head = F.concat(F.lit(OPEN), name, F.lit("\n"))
+        head = F.concat(F.lit(OPEN), F.replace(name, F.lit(MARK), F.lit(NEUTRAL)), F.lit("\n"))
         return F.struct(own.alias("own"), F.char_length(head).alias("head"), F.char_length(t["text"]).alias("body"), F.concat(head, t["text"], F.lit(CLOSE)).alias("text"))
 
     seen = seen.select("conv_id", "participant", "page", F.transform("turns", rendered).alias("parts"))

@@ -131,10 +131,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pack, op2_perspectives, op3_toxicity, op4_mix, op5_search, op6_substrings, op7_quality, op8_revisits, op8_recrawls, op9_tokens, op10_near_duplicates, pipeline)}
 SQL: dict[str, str] = {
     "op2_perspectives": """
-        WITH t AS (SELECT conv_id, turn // 256 AS page, turn, role, coalesce(text, '') AS text FROM conversations),
+        WITH t AS (SELECT conv_id, turn // 256 AS page, turn, role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations),
         p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
         j AS (SELECT t.*, participant, role = participant AS own,
-            '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+            '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || replace(role, '<|im_', '< |im_') END || chr(10) AS head
             FROM t JOIN p USING (conv_id)),
         k AS (SELECT *, CAST(length(head) + coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, participant, page
             ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM j)
