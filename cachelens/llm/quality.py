@@ -43,10 +43,9 @@ def repeated_words(hashes: Column) -> Column:
     return found.cast("long")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; all 0 for null and empty texts."""
+def statistics(text: Column, tokens: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words; all 0 for null and empty texts."""
     full = F.coalesce(text, F.lit(""))
-    tokens = words(full)
     return {
         "n_words": F.size(tokens).cast("long"),
         "word_chars": F.char_length(F.translate(full, BLANK, "")).cast("long"),
@@ -88,7 +87,8 @@ def line_rules(docs: DataFrame, host: str = "source", limit: int = 20, keep_shar
     kept, removed_words.
     """
     same_text = F.xxhash64(F.col(host), F.col("text")).alias("_t")
-    stats = docs.select("doc_id", same_text, F.col(host).alias("_h"), "text", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    cut = docs.select("doc_id", same_text, F.col(host).alias("_h"), "text", words(F.coalesce("text", F.lit(""))).alias("_w"))  # once for all that reads words
+    stats = cut.select("doc_id", "_t", "_h", "text", *[c.alias(n) for n, c in statistics(F.col("text"), F.col("_w")).items()])
     hashes = F.array_distinct(F.transform(lines(F.coalesce("text", F.lit(""))), lambda x: _line_hash(x, F.col(host))))
     rows = written(docs.select("doc_id", same_text, F.explode(hashes).alias("line")), "quality-lines")
     common = rows.groupBy("line").agg(F.count_distinct(F.struct("doc_id")).alias("docs")).where(F.col("docs") > limit)
