@@ -15,6 +15,7 @@ from cachelens.llm._store import written
 from cachelens.llm._text import parts_of, utf8, word_prints
 
 FOUND = "query_id long, doc_id long, score double"
+SHARD_WORDS = 4 << 20
 
 
 def term_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -42,96 +43,142 @@ def _queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Shard:
-    """Index of some documents. Lists of common terms are dense columns, those of rare terms sparse; both have block maxima.
+    """Inverted index of some documents: lists of postings by term, cut into blocks of documents, each with its largest impact.
 
     Documents are laid out by their most frequent term and length, so that a block holds alike ones and its bound is tight.
+    Lists of common terms are dense columns as well, so that a block of them is one product.
     """
 
-    def __init__(self, ids: list, texts: list[bytes], average: float, k1: float, b: float, block: int = 64, common: float = 0.05):
-        got = list(term_counts(texts))
-        order = sorted(range(len(got)), key=lambda i: (int(got[i][0][np.argmax(got[i][1])]) if len(got[i][0]) else 0, got[i][2], i))
-        self.ids, n = [ids[i] for i in order], len(got)
-        sizes = np.array([len(got[i][0]) for i in order], np.int64)
-        terms = np.concatenate([got[i][0] for i in order]) if n else np.zeros(0, np.int64)
-        impact = np.concatenate([got[i][1] for i in order]).astype(float) if n else np.zeros(0)
-        words = np.array([got[i][2] for i in order], np.int64)
-        del got  # arrays with an element for each posting fill the memory; each goes as soon as it can
+    def __init__(self, rows: list[tuple], average: float, k1: float, b: float, block: int = 64, common: float = 0.05):
+        """rows: (id, terms, counts, words) of each document, emptied as they are taken."""
+        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][1][np.argmax(rows[i][2])]) if len(rows[i][1]) else 0, rows[i][3], i))
+        rows[:] = [rows[i] for i in order]
+        n = len(rows)
+        self.ids, words = [r[0] for r in rows], np.array([r[3] for r in rows], np.int64)
+        sizes = np.array([len(r[1]) for r in rows], np.int64)
+        terms = np.concatenate([r[1] for r in rows]) if n else np.zeros(0, np.int64)
+        impact = np.concatenate([r[2] for r in rows]).astype(float) if n else np.zeros(0)
+        rows.clear()  # arrays with an element for each posting fill the memory; each goes as soon as it can
         impact = impact * (k1 + 1) / (impact + np.repeat(k1 * (1 - b + b * words / max(average, 1e-9)), sizes))
         docs = np.repeat(np.arange(n, dtype=np.int32), sizes)
         by_term = np.argsort(terms, kind="stable")
         terms = terms[by_term]
-        self.docs = docs[by_term]
-        del docs
-        self.impact = impact[by_term]
-        del impact, by_term
-        self.terms, self.start = np.unique(terms, return_index=True)
-        self.start = np.append(self.start, len(terms))
-        lengths = np.diff(self.start)
-        often = np.flatnonzero(lengths > common * n) if n else np.zeros(0, np.int64)
+        self.docs, self.impact = docs[by_term], impact[by_term]
+        del docs, impact, by_term
+        self.terms, start = np.unique(terms, return_index=True)
+        del terms
+        start = np.append(start, len(self.docs))
+        self.block, self.blocks = block, -(-n // block)
+        # runs: the postings of one term in one block; a run is skipped whole or read whole
+        of_block = self.docs // block
+        new = np.ones(len(of_block), bool)
+        new[1:] = of_block[1:] != of_block[:-1]
+        new[start[:-1]] = True
+        cut = np.flatnonzero(new)
+        self.run_block, self.run_start = of_block[cut], np.append(cut, len(self.docs))
+        self.run_most = np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0)
+        self.runs_of = np.searchsorted(cut, start)
+        often = np.flatnonzero(np.diff(start) > common * n)
         self.column = np.full(len(self.terms), -1)
         self.column[often] = np.arange(len(often))
-        self.blocks = -(-n // block) if n else 0
-        self.block = block
         self.dense = np.zeros((self.blocks * block, len(often)))
         for c, t in enumerate(often):
-            cut = slice(self.start[t], self.start[t + 1])
-            self.dense[self.docs[cut], c] = self.impact[cut]
-        self.dense_most = self.dense.reshape(self.blocks, block, len(often)).max(1)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, object]]:
-        """The k best (score, id) of the documents with a query term; more where scores tie."""
+            part = slice(start[t], start[t + 1])
+            self.dense[self.docs[part], c] = self.impact[part]
+        self.dense = self.dense.reshape(self.blocks, block, len(often))
+        self.dense_most = self.dense.max(1) if self.blocks else np.zeros((0, len(often)))
+        self.postings_read = self.postings_met = 0
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, together: int = 8) -> list[tuple[float, object]]:
+        """The k best (score, id) of the documents with a query term, by block-max WAND; more where scores tie.
+
+        A block's bound is the sum of its lists' weighted maxima, from the index alone. Blocks are taken by their bounds, a few
+        `together`; the pivot is the next one whose bound reaches the k-th best score. The lists move to it by their runs, so no
+        posting of a block that is passed over is read, in sparse lists neither, and the search ends where no bound reaches.
+        """
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, w = at[have], weights[have]
         if not len(at):
             return []
         column = self.column[at]
-        wc = np.zeros(self.dense.shape[1])
+        wc = np.zeros(self.dense.shape[2])
         wc[column[column >= 0]] = w[column >= 0]
         at, w = at[column < 0], w[column < 0]
-        first, size = self.start[at], self.start[at + 1] - self.start[at]
-        list_of = np.repeat(np.arange(len(at)), size)
-        entry = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        docs, add = self.docs[entry], self.impact[entry] * w[list_of]
-        bound = self.dense_most @ wc
-        if len(docs):  # block maxima of the sparse lists
-            key = list_of * self.blocks + docs // self.block
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            bound = bound + np.bincount(docs[cut] // self.block, np.maximum.reduceat(add, cut), self.blocks)
-        rare = np.bincount(docs, add, len(self.dense))
-        best: list[tuple[float, object]] = []
-        least = 0.0
-        for i in np.argsort(-bound, kind="stable").tolist():
-            if bound[i] < least - 1e-9 or bound[i] <= 0:
+        runs, list_of = _spans(self.runs_of[at], self.runs_of[at + 1])
+        in_block, weight = self.run_block[runs], w[list_of]
+        bound = self.dense_most @ wc + np.bincount(in_block, self.run_most[runs] * weight, self.blocks)
+        by_block = np.argsort(in_block, kind="stable")  # stays in the order of terms within a block
+        runs, weight = runs[by_block], weight[by_block]
+        first = np.searchsorted(in_block[by_block], np.arange(self.blocks + 1))
+        order = np.argsort(-bound, kind="stable")
+        scores, rows, least, at = np.zeros(0), np.zeros(0, np.int64), 0.0, 0
+        while at < self.blocks:
+            pivots = order[at : at + together]
+            pivots = pivots[(bound[pivots] >= least - 1e-9) & (bound[pivots] > 0)]
+            if not len(pivots):
                 break
-            rows = slice(i * self.block, (i + 1) * self.block)
-            score = self.dense[rows] @ wc + rare[rows]
-            new = np.flatnonzero(score >= max(least - 1e-9, 1e-300))
-            if len(new):
-                best += [(round(float(score[j]), 9), self.ids[rows.start + j]) for j in new.tolist()]
-                best.sort(key=lambda x: -x[0])
-                if len(best) >= k:
-                    least = best[k - 1][0]
-                    best = [x for x in best if x[0] >= least]
-        return best
-
-
-def _searched(docs: pd.DataFrame, queries: pd.DataFrame, average: float, k: int, k1: float, b: float) -> pd.DataFrame:
-    rows = []
-    if len(docs) and len(queries):
-        shard = Shard([None if pd.isna(d) else int(d) for d in docs["doc_id"].tolist()], utf8(docs["text"]), average, k1, b)
-        for q, terms, weights in zip(queries["query_id"], queries["terms"], queries["weights"], strict=True):
-            rows += [(q, d, s) for s, d in sorted(shard.search(np.asarray(terms), np.asarray(weights), k), key=lambda x: (-x[0], x[1] is None, x[1]))[:k]]
-    return pd.DataFrame({"query_id": pd.array([r[0] for r in rows], "Int64"), "doc_id": pd.array([r[1] for r in rows], "Int64"), "score": [float(r[2]) for r in rows]})
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 8192, query_block: int = 4096) -> DataFrame:
+            at += together
+            mine, slot = _spans(first[pivots], first[pivots + 1])
+            run = runs[mine]
+            entry, which = _spans(self.run_start[run], self.run_start[run + 1])
+            self.postings_read += len(entry)
+            to = slot[which] * self.block + self.docs[entry] % self.block
+            rare = np.bincount(to, self.impact[entry] * weight[mine][which], len(pivots) * self.block)
+            score = (self.dense[pivots] @ wc).ravel() + rare
+            row = (pivots[:, None] * self.block + np.arange(self.block)).ravel()
+            new = (score > 0) & (score >= least - 1e-9)
+            scores, rows = np.concatenate((scores, np.round(score[new], 9))), np.concatenate((rows, row[new]))
+            if len(scores) >= k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[scores >= least], scores[scores >= least]
+        self.postings_met += int((self.run_start[runs + 1] - self.run_start[runs]).sum())
+        return [(s, self.ids[r]) for s, r in zip(scores.tolist(), rows.tolist(), strict=True)]
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges starts[i] to ends[i], and the i of each."""
+    size = ends - starts
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(int(size.sum())) + np.repeat(starts - np.cumsum(size) + size, size), of
+
+
+def _searched(batches: Iterator[pd.DataFrame], average: float, k: int, k1: float, b: float) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by task, documents before queries: an index is built once for each task, and queries pass by it in batches."""
+    task, rows, shard = None, [], None
+    for batch in batches:
+        edges = [0, *(np.flatnonzero(np.diff(batch["task"].to_numpy())) + 1).tolist(), len(batch)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.iloc[x:y]
+            if not len(part):
+                continue
+            if part["task"].iloc[0] != task:
+                task, rows, shard = part["task"].iloc[0], [], None
+            texts = part[~part["asks"]]
+            if len(texts):
+                ids = [None if pd.isna(d) else int(d) for d in texts["id"].tolist()]
+                rows += [(d, t, c.astype(np.int32), n) for d, (t, c, n) in zip(ids, term_counts(utf8(texts["text"])), strict=True)]
+            asking = part[part["asks"]]
+            if not len(asking):
+                continue
+            if shard is None:
+                shard = Shard(rows, average, k1, b)
+            out = []
+            for q, terms, weights in zip(asking["id"], asking["terms"], asking["weights"], strict=True):
+                best = sorted(shard.search(np.asarray(terms), np.asarray(weights), k), key=lambda v: (-v[0], v[1] is None, v[1]))
+                out += [(int(q), d, s) for s, d in best[:k]]
+            yield pd.DataFrame({"query_id": pd.array([r[0] for r in out], "Int64"), "doc_id": pd.array([r[1] for r in out], "Int64"), "score": [float(r[2]) for r in out]})
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 8192, query_block: int = 1 << 18) -> DataFrame:
     """The k documents of highest BM25 score for each query, exactly.
 
     docs: doc_id long, text string. queries: query_id long (unique), text string, used whole. Other columns are ignored.
-    Document frequencies and average length are those of all docs. Documents are dealt into shards by hash; each block of
-    queries visits each shard, where blocks of documents are taken in order of their upper bounds (sums of weighted block
-    maxima) until no bound reaches the k-th best score; the shards' best are merged.
+    Document frequencies and average length are those of all docs. Documents are dealt by hash into shards of about `shard_docs` documents, or
+    fewer where they are long; a task indexes one shard once, and up to `query_block` queries pass by it in batches and are
+    answered by block-max WAND; the shards' best are merged. Beyond `query_block` queries a shard is indexed by another task
+    for each further block, so that no task grows with the queries; texts then travel once for each block, which is little
+    beside the queries that go to each shard.
 
     Returns query_id, rank (1 to k), doc_id, score (9 decimals); ties go to the smaller doc_id. Documents without a query
     term are no results, so queries without words, and all queries of an empty table, have none. Null texts are empty;
@@ -149,11 +196,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     weighed = exploded.join(frequency, "term").select("query_id", F.struct("term", (idf * F.col("count")).alias("w")).alias("x"))
     grouped = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("x"))  # bounded by one query's terms
     grouped = written(grouped.select("query_id", F.col("x.term").alias("terms"), F.col("x.w").alias("weights")), "bm25-queries")
-    shards, blocks = max(1, -(-n // shard_docs)), max(1, -(-grouped.count() // query_block))
-    each = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.explode(each).alias("part"))
-    right = grouped.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("part"))
-    work = partial(_searched, average=average, k=k, k1=k1, b=b)
-    got = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(work, FOUND)
+    # about SHARD_WORDS words at most, so that long texts make more shards, not larger ones
+    shards, blocks = max(1, -(-n // shard_docs), -(-(total["w"] or 0) // SHARD_WORDS)), max(1, -(-grouped.count() // query_block))
+    tasks = shards * blocks
+    task_of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
+    left = rows.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: (task_of * blocks + i).cast("int"))).alias("task"), F.lit(False).alias("asks"),
+        F.col("doc_id").alias("id"), "text", F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"),
+    )
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    right = grouped.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: (i * blocks + block_of).cast("int"))).alias("task"), F.lit(True).alias("asks"),
+        F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), "terms", "weights",
+    )
+    dealt = left.unionByName(right).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "asks", "id")
+    got = dealt.mapInPandas(partial(_searched, average=average, k=k, k1=k1, b=b), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
     return got.select("query_id", rank.alias("rank"), "doc_id", "score").where(F.col("rank") <= k)
