@@ -41,7 +41,8 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bm25.search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+    found = bm25.search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,55 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_perspectives, op3_toxicity, op4_mix, op5_search, op6_substrings, op7_quality, op8_revisits, op8_recrawls, op9_tokens, op10_near_duplicates, pipeline)}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWERED = _WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 SQL: dict[str, str] = {
+    "op5_search": f"""
+        WITH d AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
+        n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM d),
+        t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+        f AS (SELECT term, ln(1 + (n.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, n GROUP BY term, n.n),
+        s AS (SELECT q.doc_id AS query_id, t.doc_id, round(sum(q.tf * idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(w) / average))), 9) AS score
+            FROM t q JOIN f USING (term) JOIN t ON t.term = q.term JOIN d ON d.doc_id = t.doc_id, n WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score
+        FROM s QUALIFY rank <= 10""",
+    "op6_substrings": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        x AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        f AS (SELECT h, min(doc_id) AS first_id FROM x WHERE h IS NOT NULL GROUP BY h),
+        r AS (SELECT x.*, max(CASE WHEN first_id < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS last_hit FROM x LEFT JOIN f USING (h)),
+        k AS (SELECT doc_id, count(*) FILTER (WHERE i - last_hit < 50) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE last_hit IS NULL OR i - last_hit >= 50) AS kept
+            FROM r GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_quality": f"""
+        WITH d AS (SELECT doc_id, source, text, {_WORDS} AS w FROM documents),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1 AND i + 2 <= len(w) AS twice
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        c AS (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS 2 PRECEDING) AS covered FROM g),
+        r AS (SELECT doc_id, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY doc_id),
+        l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d),
+        m AS (SELECT *, regexp_replace(regexp_replace(lower(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '))), ' +', ' ', 'g'), '[0-9]', '0', 'g') AS plain,
+            trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '' AS full_ FROM l),
+        o AS (SELECT source, plain FROM m WHERE full_ GROUP BY ALL HAVING count(DISTINCT doc_id) > 20),
+        e AS (SELECT m.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT full_ OR o.plain IS NULL) AS rest,
+            count(*) FILTER (WHERE full_) - count(DISTINCT CASE WHEN full_ THEN line END) AS n_dup_lines
+            FROM m LEFT JOIN o ON m.plain = o.plain AND m.source IS NOT DISTINCT FROM o.source GROUP BY m.doc_id),
+        s AS (SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM d LEFT JOIN r USING (doc_id) LEFT JOIN e USING (doc_id)),
+        z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, len({_WORDS}) AS left_ FROM s)
+        SELECT doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_ >= 50 AND left_ >= 0.5 * n_words AS kept, n_words - left_ AS removed_words FROM z""",
+    "op10_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w) + 1, 2)))) AS i FROM d)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)),
+        t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+        f AS (SELECT a, min(b) AS first_id FROM t GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(first_id, d.doc_id)) AS component_id, d.doc_id <= coalesce(first_id, d.doc_id) AS kept
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f ON f.a = d.doc_id""",
     "op2_perspectives": """
         WITH t AS (SELECT conv_id, turn // 256 AS page, turn, role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations),
         p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
