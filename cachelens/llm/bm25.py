@@ -15,7 +15,7 @@ from cachelens.llm._store import written
 from cachelens.llm._text import parts_of, utf8, word_prints
 
 FOUND = "query_id long, doc_id long, score double"
-SHARD_WORDS = 4 << 20
+SHARD_WORDS = 8 << 20
 
 
 def term_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -49,7 +49,7 @@ class Shard:
     Lists of common terms are dense columns as well, so that a block of them is one product.
     """
 
-    def __init__(self, rows: list[tuple], average: float, k1: float, b: float, block: int = 64, common: float = 0.05):
+    def __init__(self, rows: list[tuple], average: float, k1: float, b: float, block: int = 128, common: float = 0.12):
         """rows: (id, terms, counts, words) of each document, emptied as they are taken."""
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][1][np.argmax(rows[i][2])]) if len(rows[i][1]) else 0, rows[i][3], i))
         rows[:] = [rows[i] for i in order]
@@ -63,19 +63,20 @@ class Shard:
         docs = np.repeat(np.arange(n, dtype=np.int32), sizes)
         by_term = np.argsort(terms, kind="stable")
         terms = terms[by_term]
-        self.docs, self.impact = docs[by_term], impact[by_term]
-        del docs, impact, by_term
+        docs, self.impact = docs[by_term], impact[by_term]
+        del impact, by_term
         self.terms, start = np.unique(terms, return_index=True)
         del terms
-        start = np.append(start, len(self.docs))
+        start = np.append(start, len(docs))
         self.block, self.blocks = block, -(-n // block)
         # runs: the postings of one term in one block; a run is skipped whole or read whole
-        of_block = self.docs // block
+        of_block = docs // block
         new = np.ones(len(of_block), bool)
         new[1:] = of_block[1:] != of_block[:-1]
         new[start[:-1]] = True
         cut = np.flatnonzero(new)
-        self.run_block, self.run_start = of_block[cut], np.append(cut, len(self.docs))
+        narrow = np.uint16 if self.blocks < 1 << 16 else np.int32  # 16 bits sort in linear time
+        self.run_block, self.run_start = of_block[cut].astype(narrow), np.append(cut, len(docs))
         self.run_most = np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0)
         self.runs_of = np.searchsorted(cut, start)
         often = np.flatnonzero(np.diff(start) > common * n)
@@ -84,7 +85,8 @@ class Shard:
         self.dense = np.zeros((self.blocks * block, len(often)))
         for c, t in enumerate(often):
             part = slice(start[t], start[t + 1])
-            self.dense[self.docs[part], c] = self.impact[part]
+            self.dense[docs[part], c] = self.impact[part]
+        self.place = (docs % block).astype(np.uint8 if block <= 256 else np.int32)
         self.dense = self.dense.reshape(self.blocks, block, len(often))
         self.dense_most = self.dense.max(1) if self.blocks else np.zeros((0, len(often)))
         self.postings_read = self.postings_met = 0
@@ -105,12 +107,12 @@ class Shard:
         wc = np.zeros(self.dense.shape[2])
         wc[column[column >= 0]] = w[column >= 0]
         at, w = at[column < 0], w[column < 0]
-        runs, list_of = _spans(self.runs_of[at], self.runs_of[at + 1])
-        in_block, weight = self.run_block[runs], w[list_of]
+        runs, size = _spans(self.runs_of[at], self.runs_of[at + 1])
+        in_block, weight = self.run_block[runs], np.repeat(w, size)
         bound = self.dense_most @ wc + np.bincount(in_block, self.run_most[runs] * weight, self.blocks)
         by_block = np.argsort(in_block, kind="stable")  # stays in the order of terms within a block
         runs, weight = runs[by_block], weight[by_block]
-        first = np.searchsorted(in_block[by_block], np.arange(self.blocks + 1))
+        first = np.concatenate(([0], np.cumsum(np.bincount(in_block, minlength=self.blocks))))
         order = np.argsort(-bound, kind="stable")
         scores, rows, least, at = np.zeros(0), np.zeros(0, np.int64), 0.0, 0
         while at < self.blocks:
@@ -119,13 +121,14 @@ class Shard:
             if not len(pivots):
                 break
             at += together
-            mine, slot = _spans(first[pivots], first[pivots + 1])
-            run = runs[mine]
-            entry, which = _spans(self.run_start[run], self.run_start[run + 1])
+            together *= 2
+            mine, size = _spans(first[pivots], first[pivots + 1])
+            run, base = runs[mine], np.repeat(np.arange(len(pivots)) * self.block, size)
+            entry, size = _spans(self.run_start[run], self.run_start[run + 1])
             self.postings_read += len(entry)
-            to = slot[which] * self.block + self.docs[entry] % self.block
-            rare = np.bincount(to, self.impact[entry] * weight[mine][which], len(pivots) * self.block)
-            score = (self.dense[pivots] @ wc).ravel() + rare
+            add = self.impact[entry] * np.repeat(weight[mine], size)
+            rare = np.bincount(np.repeat(base, size) + self.place[entry], add, len(pivots) * self.block)
+            score = np.concatenate([self.dense[p] @ wc for p in pivots.tolist()]) + rare  # a block's columns are not copied
             row = (pivots[:, None] * self.block + np.arange(self.block)).ravel()
             new = (score > 0) & (score >= least - 1e-9)
             scores, rows = np.concatenate((scores, np.round(score[new], 9))), np.concatenate((rows, row[new]))
@@ -137,10 +140,9 @@ class Shard:
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges starts[i] to ends[i], and the i of each."""
+    """All numbers of the ranges starts[i] to ends[i], and how many each range has."""
     size = ends - starts
-    of = np.repeat(np.arange(len(size)), size)
-    return np.arange(int(size.sum())) + np.repeat(starts - np.cumsum(size) + size, size), of
+    return np.arange(int(size.sum())) + np.repeat(starts - np.cumsum(size) + size, size), size
 
 
 def _searched(batches: Iterator[pd.DataFrame], average: float, k: int, k1: float, b: float) -> Iterator[pd.DataFrame]:
@@ -170,7 +172,7 @@ def _searched(batches: Iterator[pd.DataFrame], average: float, k: int, k1: float
             yield pd.DataFrame({"query_id": pd.array([r[0] for r in out], "Int64"), "doc_id": pd.array([r[1] for r in out], "Int64"), "score": [float(r[2]) for r in out]})
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 8192, query_block: int = 1 << 18) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 16384, query_block: int = 1 << 18) -> DataFrame:
     """The k documents of highest BM25 score for each query, exactly.
 
     docs: doc_id long, text string. queries: query_id long (unique), text string, used whole. Other columns are ignored.
