@@ -444,6 +444,29 @@ def test_search_is_exact(docs, corpus):
         assert [r.doc_id for r in mine] == [x[2] for x in best]
 
 
+@pytest.mark.parametrize("block, together", [(4, 1), (16, 8), (128, 3)])
+def test_block_max_skips_postings_and_stays_exact(block, together):
+    rng = np.random.default_rng(block)
+    rows = []
+    for i in range(400):  # groups of ten share their words; copies tie; some have no words
+        terms, counts = np.unique(np.where(rng.random(0 if i % 50 == 0 else 30) < 0.7, i // 10 * 40 + rng.integers(0, 40, 0 if i % 50 == 0 else 30), rng.integers(5000, 5040, 0 if i % 50 == 0 else 30)), return_counts=True)
+        rows.append((i, terms.astype(np.int64), counts.astype(np.int32), int(counts.sum())) if i % 7 else (i, *rows[-1][1:]) if rows else (i, np.zeros(0, np.int64), np.zeros(0, np.int32), 0))
+    average = sum(r[3] for r in rows) / len(rows)
+    shard = bm25.Shard(list(rows), average, 1.2, 0.75, block=block)
+    for q in rows[::9]:
+        weights = 0.5 + rng.random(len(q[1]))
+        by = dict(zip(q[1].tolist(), weights.tolist(), strict=True))
+        want = []
+        for i, t, c, n in rows:
+            s = sum(by[x] * y * 2.2 / (y + 1.2 * (0.25 + 0.75 * n / average)) for x, y in zip(t.tolist(), c.tolist(), strict=True) if x in by)
+            if s > 0:
+                want.append((-round(s, 6), i))
+        got = shard.search(q[1], weights, 5, together)
+        assert sorted((-round(s, 6), i) for s, i in got)[:5] == sorted(want)[:5]
+    if block == 4:  # larger blocks hold a whole group, so its lists are read whole
+        assert 0 < shard.postings_read < shard.postings_met
+
+
 # Rules, chat, captures
 
 
