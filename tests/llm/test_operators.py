@@ -444,6 +444,36 @@ def test_search_is_exact(docs, corpus):
         assert [r.doc_id for r in mine] == [x[2] for x in best]
 
 
+def test_search_shuffles_neither_documents_nor_queries_for_the_other(spark):
+    """Four shards and ten blocks of queries: documents are shuffled once, queries never, beside at most k results of each from a shard."""
+    rnd = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(f"t{rnd.randrange(300)}" for _ in range(40))) for i in range(400)], "doc_id long, text string")
+    asked = docs.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "query_id")
+    one, many = (bm25.search(docs, asked, shard_docs=d, query_block=q) for d, q in ((400, 100), (100, 10)))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    nodes, rows = [many._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            rows.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        nodes += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    rows.remove(400 + 4)  # documents, and the end of each shard
+    assert len(rows) == 1 and rows[0] <= 100 * 4 * 10
+
+
+def test_search_goes_on_from_shard_to_shard(spark, monkeypatch):
+    """Tasks of several shards, some of them empty, with copies that tie across shards."""
+    monkeypatch.setattr(bm25, "MERGED", 2)
+    rnd = random.Random(12)
+    texts = [" ".join(f"t{rnd.randrange(200)}" for _ in range(rnd.randrange(1, 60))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, texts[i % 40] if i % 9 else None) for i in range(200)], "doc_id long, text string")
+    asked = docs.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    merged = bm25.search(docs, asked, k=7, shard_docs=3, query_block=9).collect()
+    assert sorted(map(tuple, merged)) == sorted(map(tuple, bm25.search(docs, asked, k=7).collect()))
+
+
 @pytest.mark.parametrize("block, together", [(4, 1), (16, 8), (128, 3)])
 def test_block_max_skips_postings_and_stays_exact(block, together):
     rng = np.random.default_rng(block)
