@@ -26,20 +26,26 @@ def lines(text: Column) -> Column:
 
 
 def repeated_words(hashes: Column) -> Column:
-    """Words in 3-word windows found twice or more: windows sorted by hash, those equal to a neighbour, their union."""
+    """Words in 3-word windows found twice or more: windows sorted by hash, those equal to a neighbour, their union.
+
+    Texts whose windows all differ are not sorted.
+    """
 
     def flagged(s: Column) -> Column:
         same = F.filter(s, lambda x, i: (x["h"] == F.get(s, i + 1)["h"]) | (x["h"] == F.get(s, i - 1)["h"]))
-        return F.array_sort(F.transform(same, lambda x: x["i"]))
+        return F.sort_array(F.transform(same, lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.coalesce(F.least(F.get(at, i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, b: a + b)
 
     def grams(h: Column) -> Column:
-        n = F.size(h) - 2
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i")))
+        return F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), F.lit(1), F.size(h) - 2)
+
+    def union(g: Column) -> Column:
+        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))  # array_sort would interpret a comparator
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_let(placed, lambda s: _let(flagged(s), covered)))
 
-    found = _let(hashes, lambda h: F.when(F.size(h) < 4, F.lit(0)).otherwise(_let(F.array_sort(grams(h)), lambda s: _let(flagged(s), covered))))
+    found = _let(hashes, lambda h: F.when(F.size(h) < 4, F.lit(0)).otherwise(_let(grams(h), union)))
     return found.cast("long")
 
 
@@ -57,7 +63,8 @@ def statistics(text: Column, tokens: Column) -> dict[str, Column]:
 
 def _normal(line: Column) -> Column:
     """Lower case, digits as 0, blanks as one space."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))), " +", " "), "[0-9]", "0")
+    plain = F.lower(F.trim(F.translate(line, "\t\r\x0b\x0c123456789", "    000000000")))
+    return _let(plain, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
 
 
 def _line_hash(line: Column, host: Column) -> Column:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cachelens.llm import bm25, chat, encoding, mixing, near, packing, quality, rangecoder, substrings, tokenfiles, toxicity, warc
@@ -516,6 +517,25 @@ def test_line_rules_edges(spark, docs, corpus):
     assert all(r.removed_words == 0 for r in quality.line_rules(common, limit=30).collect())
 
 
+def test_repeated_words_without_a_comparator(spark):
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abcdef"[: 1 + i % 6]) + str(rnd.randrange(1 + i)) for _ in range(i % 23)) for i in range(200)] + [LONG, LONG + " w1 w2 w3", "a b c a b c", "a a a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", quality.repeated_words(F.transform(quality.words(F.col("text")), lambda w: F.xxhash64(w))).alias("n"))
+    for i, n in got.collect():
+        w = texts[i].split()
+        seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        assert n == len({j for x in range(len(w) - 2) if seen[tuple(w[x : x + 3])] > 1 for j in range(x, x + 3)})
+    assert "array_sort(" not in got._jdf.queryExecution().analyzed().toString()  # it interprets a comparator for each comparison
+
+
+@pytest.mark.parametrize("line", [" A  b\tC\x0b9 ", "Ünd 10  20\r", "", "   ", "ΑΣ1 Σ  x", "one two"])
+def test_normal_lines(spark, line):
+    plain = re.sub("[0-9]", "0", re.sub(" +", " ", re.sub("[\t\r\x0b\x0c]", " ", line).strip(" ")))
+    got = spark.createDataFrame([(line, plain)], "line string, plain string").select(quality._normal(F.col("line")), F.lower("plain")).first()
+    assert got[0] == got[1]
+
+
 def test_line_rules_remove_lines(spark):
     def normal(x):
         return re.sub("[0-9]", "0", " ".join(words(x)).lower())
