@@ -85,18 +85,19 @@ def observe(view: DataFrame, answer: DataFrame | None) -> DataFrame:
     return (view if answer is None else answer).select(*VIEW)
 
 
-def observed(view: DataFrame, answers: DataFrame, turn: int) -> DataFrame:
-    """One turn of an agent: it asks a member of its view, drawn by the hash of peer and turn, and takes over that member's view.
+def asked(view: DataFrame, turn: int) -> DataFrame:
+    """host, port: the member that an agent asks in a turn, drawn by the hash of peer and turn; one row, of nulls for an empty view."""
+    draw = F.md5(F.concat(F.col("host"), F.lit(":"), F.col("port").cast("string"), F.lit(f":{turn}")).cast("binary"))
+    return view.agg(F.min_by(F.struct(*PEER), draw).alias("asked")).select("asked.*")
 
-    answers: from_host, from_port and the columns of a view, a row for each member that each peer would answer with; a peer
-    without rows does not answer, and the view stays. An empty view stays empty.
+
+def observed(view: DataFrame, answer: DataFrame, heard: DataFrame) -> DataFrame:
+    """One turn of an agent: it takes over the answer of the member it asked, even an empty one, or keeps its view.
+
+    heard: one row with a boolean `heard`, whether that member answered; null, which gives no rows, if there was no one to ask.
     """
-    draw = F.md5(F.concat_ws(":", "host", F.col("port").cast("string"), F.lit(str(turn))).cast("binary"))
-    asked = view.agg(F.min_by(F.struct(*PEER), draw).alias("asked"))
-    told = answers.join(F.broadcast(asked), F.struct(F.col("from_host").alias("host"), F.col("from_port").alias("port")) == F.col("asked")).select(*VIEW)
-    heard = told.agg((F.count(F.lit(1)) > 0).alias("heard"))  # a row
-    stayed = view.select(*VIEW).crossJoin(F.broadcast(heard)).where("not heard").drop("heard")
-    return told.unionByName(stayed)
+    sides = view.select(*VIEW, F.lit(False).alias("heard")).unionByName(answer.select(*VIEW, F.lit(True).alias("heard")))
+    return sides.join(F.broadcast(heard), "heard").select(*VIEW)
 
 
 def diff_gauge(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """Behaviour that the queries over the benchmark tables do not reach."""
 
 from collections import OrderedDict
+from datetime import datetime
+
+import pytest
 
 from cachelens.operators import requests as req
 from cachelens.operators import ring
+from cachelens.plans.oracles import SQL
 from cachelens.plans.queries import QUERIES
 from cachelens.sources import objects
 from tests.conftest import DATA
@@ -88,3 +92,27 @@ def test_hashes_of_texts(spark):
     for r in QUERIES["hash_text_keys"](spark, sf).collect():
         b = url[r.page_id]
         assert (r.as_string, r.as_bytes) == (signed(b + b"\xff"), signed(len(b).to_bytes(8, "little") + b))
+
+
+@pytest.mark.parametrize(
+    "users",
+    [
+        [2, 3, 2, 8],  # user 2 is asked and answers
+        [9, 2, 9, 4],  # user 9 is asked and does not answer
+        [2, 2],  # the answer is the same member, seen later
+        [2],  # the answer is empty
+        [9],  # no answer, and nothing to be answered
+        [None, 3, 2, 5],  # a member without a name is not asked before others
+        [],
+    ],
+)
+def test_observer_turn_of_few_users(spark, same, tmp_path, users):
+    """Against the SQL: whom the agent asks, and what it keeps or takes over. Events take turns between the two views."""
+    rows = [(i, datetime(2024, 1, 1, i), u, 1.5 + i) for i, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    same(QUERIES["observer_turn"], SQL["observer_turn"], str(tmp_path))
+
+
+def test_observer_turn_does_not_pair_two_views(spark):
+    plan = QUERIES["observer_turn"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
